@@ -7,8 +7,9 @@ with its production parameters.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import packing, simhash, substrings, token_files
 from .common import table
 
 #: Where the vocabularies are; a parameter of the operators.
@@ -23,10 +24,19 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(docs, vocabulary("byte_bpe_50k.json"), end_id=2))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return substrings.dedup_substrings(docs, window=35).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op6_packing)}
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op3_token_files, op5_substrings, op6_packing, op7_simhash)}
 ORACLE_SQL: dict[str, str] = {}
