@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, substrings, token_files
+from . import packing, quality, simhash, substrings, token_files, urls
 from .common import table
 
 #: Where the vocabularies are; a parameter of the operators.
@@ -24,6 +24,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(docs, vocabulary("byte_bpe_50k.json"), end_id=2))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text")).drop("lost", "clean_text")
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return substrings.dedup_substrings(docs, window=35).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -38,5 +42,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op5_substrings, op6_packing, op7_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"))
+
+
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_quality, op5_substrings, op6_packing, op7_simhash, op9_urls)}
+ORACLE_SQL = {"op4_quality": quality.SQL, "op9_urls": urls.SQL}
