@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash, substrings, token_files, urls
+from . import packing, quality, secrets, simhash, substrings, token_files, urls
 from .common import table
 
 #: Where the vocabularies are; a parameter of the operators.
@@ -42,9 +42,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_quality, op5_substrings, op6_packing, op7_simhash, op9_urls)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_quality, op5_substrings, op6_packing, op7_simhash, op8_secrets, op9_urls)}
 ORACLE_SQL = {"op4_quality": quality.SQL, "op9_urls": urls.SQL}
