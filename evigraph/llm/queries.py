@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, secrets, simhash, substrings, token_files, urls
+from . import lines, packing, quality, secrets, simhash, substrings, token_files, urls
 from .common import table
 
 #: Where the vocabularies are; a parameter of the operators.
@@ -19,6 +19,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return token_files.read_token_files(token_files.write_token_files(docs, vocabulary("byte_bpe_50k.json"), end_id=2))
@@ -50,5 +55,5 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_quality, op5_substrings, op6_packing, op7_simhash, op8_secrets, op9_urls)}
+QUERIES = {f.__name__: f for f in (op2_lines, op3_token_files, op4_quality, op5_substrings, op6_packing, op7_simhash, op8_secrets, op9_urls)}
 ORACLE_SQL = {"op4_quality": quality.SQL, "op9_urls": urls.SQL}
