@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, quality, secrets, simhash, substrings, token_files, urls
+from . import lines, neighbours, packing, quality, secrets, simhash, substrings, token_files, urls
 from .common import table
 
 #: Where the vocabularies are; a parameter of the operators.
@@ -55,5 +55,9 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"))
 
 
-QUERIES = {f.__name__: f for f in (op2_lines, op3_token_files, op4_quality, op5_substrings, op6_packing, op7_simhash, op8_secrets, op9_urls)}
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+QUERIES = {f.__name__: f for f in (op2_lines, op3_token_files, op4_quality, op5_substrings, op6_packing, op7_simhash, op8_secrets, op9_urls, op10_neighbours)}
 ORACLE_SQL = {"op4_quality": quality.SQL, "op9_urls": urls.SQL}
