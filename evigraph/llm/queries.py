@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, neighbours, packing, quality, secrets, simhash, substrings, token_files, urls
+from . import lines, neighbours, packing, quality, secrets, sentencepiece_codec, simhash, substrings, token_files, urls
 from .common import table
 
 #: Where the vocabularies are; a parameter of the operators.
@@ -19,6 +19,22 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and lengths by merges and by Viterbi, and digests of both decodings."""
+    model = vocabulary("piece_bpe_32k.model")
+    encoded = sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), model)
+    count = lambda ids: (F.octet_length(ids) / 4).cast("long")
+    return sentencepiece_codec.decode_documents(encoded, model).select(
+        "doc_id",
+        count("ids").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+        count("viterbi_ids").alias("viterbi_tokens"),
+        F.crc32("viterbi_ids").alias("viterbi_crc32"),
+        F.sha2("viterbi_text", 256).alias("viterbi_decoded_sha256"),
+    )
+
+
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -59,5 +75,5 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
-QUERIES = {f.__name__: f for f in (op2_lines, op3_token_files, op4_quality, op5_substrings, op6_packing, op7_simhash, op8_secrets, op9_urls, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_lines, op3_token_files, op4_quality, op5_substrings, op6_packing, op7_simhash, op8_secrets, op9_urls, op10_neighbours)}
 ORACLE_SQL = {"op4_quality": quality.SQL, "op9_urls": urls.SQL}
