@@ -23,7 +23,12 @@ def _removed(text: Column, letters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, letters, ""))
 
 
-def line_verdict(line: Column) -> Column:
+def measured(lines: Column) -> Column:
+    """Each line with its words: split once, judged by several rules."""
+    return F.transform(lines, lambda line: F.struct(line.alias("line"), F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words")))
+
+
+def line_verdict(line: Column, words: Column) -> Column:
     """Null for a line that passes (or has no word), else the rule it fails.
 
     navigation: two bars or more, and a bar for every three words; symbols:
@@ -32,7 +37,6 @@ def line_verdict(line: Column) -> Column:
     ten words or more of which a quarter differ; punctuation: four words or
     more without any mark that ends a sentence or clause.
     """
-    words = F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     n = F.size(words)
     bars, symbols = _removed(line, "|"), _removed(line, SYMBOLS)
     shouts = (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))) / 2
@@ -73,7 +77,7 @@ def _repeated(docs: DataFrame) -> DataFrame:
     return hashed.withColumn("n_repeat_words", F.when(F.col("repeats"), covered).otherwise(F.lit(0).cast("long"))).drop("h", "repeats", "mask", "packed", "places")
 
 
-def quality_rules(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
+def quality_rules(docs: DataFrame, max_lost: float = MAX_LOST, carry: str | None = None) -> DataFrame:
     """Judges ``docs(doc_id, text)`` line first; one row for each.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
@@ -84,14 +88,14 @@ def quality_rules(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     without a shuffle; each row is judged alone, so repeated rows and ties give
     repeated rows, and other columns are not read.
     """
-    text = F.coalesce("text", F.lit(""))
-    counted = docs.select("doc_id", text.alias("text")).withColumn("words", words_of(F.col("text")))
+    text, kept = F.coalesce("text", F.lit("")), [F.col(carry).alias("_carried")] if carry else []
+    counted = docs.select("doc_id", text.alias("text"), *kept).withColumn("words", words_of(F.col("text")))
     counted = counted.withColumn("n_words", F.size("words").cast("long"))
     counted = _repeated(counted).drop("words")
     lines = F.split("text", "\n")
     counted = counted.withColumn("lines", lines)
     worded = F.filter("lines", lambda line: F.btrim(line, F.lit(SPACES)) != "")
-    counted = counted.withColumn("worded", worded)
+    counted = counted.withColumn("worded", worded).withColumn("measured", measured(F.col("lines")))
     chars = lambda x: F.length(F.translate(x, SPACES, ""))
     counted = counted.select(
         "doc_id",
@@ -100,11 +104,13 @@ def quality_rules(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
         _removed(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
-        F.array_join(F.filter("lines", lambda line: line_verdict(line).isNull()), "\n").alias("clean_text"),
+        *[F.col("_carried")] * len(kept),
+        F.array_join(F.transform(F.filter("measured", lambda m: line_verdict(m["line"], m["words"]).isNull()), lambda m: m["line"]), "\n").alias("clean_text"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     lost = F.when(F.col("word_chars") == 0, 0.0).otherwise(1 - chars(F.col("clean_text")) / F.col("word_chars"))
-    return counted.withColumn("base_failed", failed).withColumn("lost", lost).withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= max_lost))
+    judged = counted.withColumn("base_failed", failed).withColumn("lost", lost).withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= max_lost))
+    return judged.withColumnRenamed("_carried", carry) if carry else judged
 
 
 #: DuckDB SQL for the query over ``documents``.

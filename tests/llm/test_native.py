@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from evigraph.llm import quality, urls
 from evigraph.llm.common import WORD
@@ -66,7 +67,8 @@ def test_quality_equals_brute_force_and_sql(spark):
 )
 def test_line_rules(spark, line, rule):
     df = spark.createDataFrame([(line,)], "line string")
-    assert df.select(quality.line_verdict(df.line)).first()[0] == rule
+    m = quality.measured(F.array(df.line))[0]
+    assert df.select(quality.line_verdict(m["line"], m["words"])).first()[0] == rule
 
 
 def brute_url(url):
