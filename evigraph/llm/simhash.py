@@ -47,16 +47,16 @@ def text_fingerprints(texts: list[str | None], shingle: int) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long) of ``docs(doc_id, text)``; the fingerprint's bits as a
-    signed long. Only A-Z are lower-cased. Null, empty and word-less texts have
+    """(doc_id, fp long, content long) of ``docs(doc_id, text)``: the
+    fingerprint's bits as a signed long, and a hash of id and text. Only A-Z are lower-cased. Null, empty and word-less texts have
     fingerprint 0, texts under ``shingle`` words are one shingle."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array(text_fingerprints(batch.column(1).to_pylist(), shingle), np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps), batch.column(2)], names=["doc_id", "fp", "content"])
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("content")).mapInArrow(of, "doc_id long, fp long, content long")
 
 
 def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -133,6 +133,25 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     return dealt.select("fp", "key", "probe", "segment", "block").mapInArrow(match, "a long, b long").distinct()
 
 
+def near_dedup(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
+    """One row of each group of near copies in ``docs``, with all its columns.
+
+    The row with the smallest doc_id stays (null ids last; among rows with one
+    id the one whose content hashes smallest, once). The rows meet their
+    group's choice by id and content, so no task holds a group.
+    """
+    content = F.xxhash64("doc_id", "text")
+    prints = stored(fingerprints(docs, shingle), "simhash").groupBy("fp", "doc_id").agg(F.min("content").alias("content"))
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "content"))
+    distinct = stored(prints.groupBy("fp").agg(own.alias("own")), "simhash")
+    members = connected_components(links(distinct.select("fp"), distance), "a", "b")
+    labelled = distinct.join(members.withColumnRenamed("id", "fp"), "fp", "left")
+    chosen = labelled.groupBy(F.coalesce("component", "fp")).agg(F.min("own").alias("own")).select(F.col("own.doc_id").alias("chosen_id"), F.col("own.content").alias("chosen_content"))
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("held_id"), content.alias("held_content"))
+    joined = held.join(chosen, F.col("held_id").eqNullSafe(F.col("chosen_id")) & (F.col("held_content") == F.col("chosen_content")))
+    return joined.dropDuplicates(["held_id", "held_content"]).select("row.*")
+
+
 def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
     """One row for each of ``docs(doc_id, text)``: doc_id, fingerprint (16 hex
     digits) and component_id, the smallest doc_id it reaches over links.
