@@ -132,7 +132,7 @@ def resolve_placeholders(text: Column, answers: Column) -> Column:
 
 def entity_tags(text: Column) -> Column:
     """Map of ``name <TAG>`` pairs; a repeated name has its last tag."""
-    names = F.transform(F.regexp_extract_all(text, F.lit(r"([^<>]+?)\s*<[^<>]+>"), F.lit(1)), F.trim)
+    names = F.transform(F.regexp_extract_all(text, F.lit(r"([^<>]+?)\s*<[^<>]+>"), F.lit(1)), lambda n: F.trim(n))
     tags = F.regexp_extract_all(text, F.lit(r"[^<>]+?\s*<([^<>]+)>"), F.lit(1))
     pairs = F.arrays_zip(names.alias("n"), tags.alias("t"))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["n"] == p["n"]))

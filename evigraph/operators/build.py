@@ -40,21 +40,26 @@ def rule_graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named.drop("at"), edges
 
 
-def split_chunks(body: Column, chunks: Column) -> Column:
-    """A text cut in two or three at the sentence ends nearest to equal parts;
-    joined again they give the text. A text without inner ends stays whole."""
+def split_chunks(docs: DataFrame, body: str, chunks: int, out: str = "chunks") -> DataFrame:
+    """Adds ``out``: the text cut in two or three at the sentence ends nearest
+    to equal parts, the earlier of equals; joined again they give the text. A
+    text without inner ends stays whole."""
     ends = F.transform(F.regexp_extract_all(body, F.lit(r"(?s).*?[.!?](?=\s|$)"), F.lit(0)), F.length)
-    places = F.filter(F.transform(ends, lambda x, i: F.aggregate(F.slice(ends, 1, i + 1), F.lit(0), lambda a, y: a + y)), lambda p: p < F.length(body))
-
-    def nearest(target: Column, after: Column) -> Column:
-        return F.array_min(F.transform(F.filter(places, lambda p: p > after), lambda p: F.struct(F.abs(p - target).alias("d"), p.alias("p"))))["p"]
-
-    n = F.length(body)
-    one = nearest(n / chunks, F.lit(0))
-    two = F.when(chunks >= 3, nearest(2 * n / chunks, F.coalesce(one, n)))
-    cut = lambda a, b: F.substring(body, a + 1, b - a)
+    start = F.array().cast("array<int>")
+    placed = F.aggregate(ends, start, lambda a, n: F.concat(a, F.array(n + F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)))))
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.col(body).alias("body"), placed.alias("ends"))
+
+    def nearest(part: int, after: str | None):
+        target = F.length("body") * part / chunks
+        usable = F.filter("ends", lambda p: (p < F.length("body")) & (p > (F.col(after) if after else F.lit(0))))
+        return F.array_min(F.transform(usable, lambda p: F.struct(F.abs(p - target).alias("d"), p.alias("p"))))["p"]
+
+    held = held.withColumn("one", nearest(1, None))
+    held = held.withColumn("two", nearest(2, "one") if chunks >= 3 else F.lit(None).cast("int"))
+    cut = lambda a, b: F.substring("body", a + 1, b - a)
+    n, one, two = F.length("body"), F.col("one"), F.col("two")
     parts = F.array(cut(F.lit(0), F.coalesce(one, n)), F.when(one.isNotNull(), cut(one, F.coalesce(two, n))), F.when(two.isNotNull(), cut(two, n)))
-    return F.filter(parts, lambda p: p.isNotNull())
+    return held.select("row.*", F.array_compact(parts).alias(out))
 
 
 def parse_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,7 +67,7 @@ def parse_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     on, up to ``<END_OUTPUT>``; an attribute links its entity to ``key=value``."""
     body = F.regexp_replace("text", r"(?s)<END_OUTPUT>.*$", "")
     records = lines.select(F.explode(F.regexp_extract_all(body, F.lit(r'(?s)\((".*?")\);'), F.lit(1))).alias("r"))
-    fields = records.select(F.transform(F.split(F.expr("substring(r, 2, length(r) - 2)"), r'"\s*,\s*"'), F.trim).alias("f"))
+    fields = records.select(F.transform(F.split(F.expr("substring(r, 2, length(r) - 2)"), r'"\s*,\s*"'), lambda x: F.trim(x)).alias("f"))
     kind = F.get("f", 0)
     at = lambda i: F.get(F.col("f"), i)
     entity = fields.where((kind == "entity") & (F.size("f") == 4)).select(at(1).alias("name"), at(2).alias("type"), at(3).alias("desc"))

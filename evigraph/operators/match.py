@@ -131,11 +131,15 @@ def word_overlap_pairs(query: DataFrame, data: DataFrame) -> DataFrame:
     return q.join(words(data, "v"), ["instance", "word"]).select("instance", "u", "v").distinct()
 
 
-def embed_hashed(texts: Column, size: int = 64) -> Column:
-    """Default embedding, lexical: tokens counted in hashed places, length 1."""
-    places = F.transform(text.tokens(texts, True), lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    return F.transform(counts, lambda c: c / F.greatest(vector.norm(counts), F.lit(1e-10)))
+def with_embedding(df: DataFrame, body: str, out: str, size: int = 64) -> DataFrame:
+    """Adds ``out``, the default embedding, which is lexical: tokens counted in
+    ``size`` hashed places, scaled to length 1. Staged, so that no step is
+    computed again for each element."""
+    places = F.transform(text.tokens(F.col(body), True), lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int"))
+    staged = df.withColumn("_places", places)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter("_places", lambda p: p == i)).cast("double"))
+    staged = staged.withColumn("_counts", counts).withColumn("_norm", F.greatest(vector.norm(F.col("_counts")), F.lit(1e-10)))
+    return staged.withColumn(out, F.transform("_counts", lambda c: c / F.col("_norm"))).drop("_places", "_counts", "_norm")
 
 
 def batches_of(rows: Iterator, size: int) -> Iterator[list]:

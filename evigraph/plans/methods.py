@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vector
-from ..operators.match import embed_hashed, lexical_entailment, lexical_label
+from ..operators.match import lexical_entailment, lexical_label, with_embedding
 
 
 def vanilla(rows: DataFrame) -> DataFrame:
@@ -40,19 +40,21 @@ def sentli(rows: DataFrame) -> DataFrame:
 
 def sparsecl(rows: DataFrame, alpha: float = 1.5) -> DataFrame:
     """The cosine and weighted sparsity stand before the text."""
-    score = vector.contradiction_score(embed_hashed(F.col("query")), embed_hashed(F.col("text")), alpha)
-    return rows.withColumn("text", F.concat(F.format_string("[SparseCL: %.2f] ", score), F.col("text")))
+    staged = with_embedding(with_embedding(rows, "query", "_q"), "text", "_t")
+    score = vector.contradiction_score(F.col("_q"), F.col("_t"), alpha)
+    return staged.withColumn("text", F.concat(F.format_string("[SparseCL: %.2f] ", score), F.col("text"))).drop("_q", "_t")
 
 
 def consistent_detection(rows: DataFrame, critical: DataFrame, pairs: DataFrame, near: float = 0.25) -> DataFrame:
     """Documents at a cosine distance of ``near`` or less are consistent; others
     contradict if a critical query vertex (instance, u) has no match (instance,
     doc, u). Adds ``verdict`` and marks the text."""
-    far = 1 - vector.cosine(embed_hashed(F.col("query")), embed_hashed(F.col("text")))
+    far = 1 - vector.cosine(F.col("_q"), F.col("_t"))
     want = rows.select("instance", "doc").join(critical.select("instance", "u").distinct(), "instance")
     gap = want.join(pairs.select("instance", "doc", "u").distinct(), ["instance", "doc", "u"], "left_anti").select("instance", "doc").distinct().withColumn("_gap", F.lit(True))
-    judged = rows.join(gap, ["instance", "doc"], "left").withColumn("verdict", F.when((far <= near) | F.col("_gap").isNull(), "consistent").otherwise("contradiction"))
-    return judged.withColumn("text", F.concat(F.lit("["), F.col("verdict"), F.lit("] "), F.col("text"))).drop("_gap")
+    staged = with_embedding(with_embedding(rows, "query", "_q"), "text", "_t")
+    judged = staged.join(gap, ["instance", "doc"], "left").withColumn("verdict", F.when((far <= near) | F.col("_gap").isNull(), "consistent").otherwise("contradiction"))
+    return judged.withColumn("text", F.concat(F.lit("["), F.col("verdict"), F.lit("] "), F.col("text"))).drop("_gap", "_q", "_t")
 
 
 METHODS: dict[str, Callable[[DataFrame], DataFrame]] = {"vanilla": vanilla, "contradoc": contradoc, "cdit": similar_only, "sentli": sentli, "sparsecl": sparsecl}

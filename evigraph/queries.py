@@ -162,9 +162,9 @@ def merge_graphs(s, d):
 
 
 def dmatch_aggregate(s, d):
-    lines = _t(s, d, "lineitem", "l_returnflag", "l_suppkey", "l_linenumber", "l_shipdate", "l_discount")
-    rows = lines.select(F.col("l_returnflag").alias("pair"), F.col("l_suppkey").alias("u"), F.col("l_linenumber").alias("v"), F.year("l_shipdate").alias("place"), (F.col("l_discount") * 10).alias("score"))
-    return match.dmatch_scores(rows, 0.7).select("pair", "u", "v", F.round("score", 6).alias("score"))
+    lines = _t(s, d, "lineitem", "l_returnflag", "l_suppkey", "l_linenumber", "l_shipdate", "l_extendedprice")
+    rows = lines.select(F.col("l_returnflag").alias("pair"), F.col("l_suppkey").alias("u"), F.col("l_linenumber").alias("v"), F.year("l_shipdate").alias("place"), (F.col("l_extendedprice") / 100_000).alias("score"))
+    return match.dmatch_scores(rows, 0.7).select("pair", "u", "v", F.round("score", 9).alias("score"))
 
 
 def greedy_one_to_one(s, d):
@@ -237,8 +237,8 @@ def supporting_span(s, d):
 
 
 def chunk_split(s, d):
-    parts = build.split_chunks(F.col("text"), F.lit(3))
-    return _t(s, d, "documents", "doc_id", "text").select("doc_id", F.size(parts).alias("n_chunks"), (F.array_join(parts, "") == F.col("text")).alias("whole"))
+    parts = build.split_chunks(_t(s, d, "documents", "doc_id", "text"), "text", 3)
+    return parts.select("doc_id", F.size("chunks").alias("n_chunks"), (F.array_join("chunks", "") == F.col("text")).alias("whole"))
 
 
 def record_parse(s, d):
@@ -318,7 +318,6 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _TREE = "tree AS (SELECT (n_nationkey + 100)::BIGINT AS node, n_regionkey::BIGINT AS parent FROM nation UNION ALL SELECT c_custkey + 1000, (c_nationkey + 100)::BIGINT FROM customer)"
-_NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '{1}', ' ', 'g'), '\s+', ' ', 'g'))"
 _NEXT = "n AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
 
 ORACLE_SQL = {
@@ -341,7 +340,7 @@ ORACLE_SQL = {
     "lca_pairs": "SELECT a.c_custkey + 1000 AS a, a.c_custkey + 1001 AS b, CASE WHEN a.c_nationkey = b.c_nationkey THEN (a.c_nationkey + 100)::BIGINT WHEN x.n_regionkey = y.n_regionkey THEN x.n_regionkey::BIGINT END AS lca FROM customer a LEFT JOIN customer b ON b.c_custkey = a.c_custkey + 1 LEFT JOIN nation x ON x.n_nationkey = a.c_nationkey LEFT JOIN nation y ON y.n_nationkey = b.c_nationkey",
     "merge_components": "SELECT p_partkey AS id, m AS component FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name) AS m, count(*) OVER (PARTITION BY p_name) AS n FROM part) WHERE n > 1",
     "merge_graphs": "SELECT min(p_partkey) AS merged, p_name AS text, count(DISTINCT p_brand) AS n_sources FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) > 1 UNION ALL SELECT p_partkey, p_name, 1 FROM part WHERE p_name IN (SELECT p_name FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1)",
-    "dmatch_aggregate": "SELECT pair, u, v, round(avg(best), 6) AS score FROM (SELECT l_returnflag AS pair, l_suppkey AS u, l_linenumber AS v, year(l_shipdate) AS place, max(l_discount * 10) AS best FROM lineitem GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3 HAVING avg(best) > 0.7",
+    "dmatch_aggregate": "SELECT pair, u, v, round(avg(best), 9) AS score FROM (SELECT l_returnflag AS pair, l_suppkey AS u, l_linenumber AS v, year(l_shipdate) AS place, max(l_extendedprice / 100000) AS best FROM lineitem GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3 HAVING avg(best) > 0.7",
     "cosine_threshold_pairs": f"WITH {_NEXT} SELECT vec_id, round(list_cosine_similarity(x, y), 5) AS score FROM n WHERE list_cosine_similarity(x, y) >= 0.1",
     "hoyer_score": f"WITH {_NEXT}, g AS (SELECT vec_id, list_transform(list_zip(x, y), lambda p: p[1] - p[2]) AS g FROM n) SELECT vec_id, round((sqrt(len(g)) - list_sum(list_transform(g, lambda e: abs(e))) / sqrt(list_sum(list_transform(g, lambda e: e * e)))) / (sqrt(len(g)) - 1), 5) AS hoyer FROM g",
     "knn_exact": "SELECT query_id, rank::INT AS rank, vec_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)) WHERE rank <= 5",
@@ -355,6 +354,4 @@ ORACLE_SQL = {
     "weighted_mean": "SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 9) AS mean FROM lineitem WHERE l_quantity > 0 GROUP BY 1",
     "tie_adjusted_rank": "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus DESC, o_orderkey)::INT AS place, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus DESC)::INT AS tie_rank FROM orders",
     "bounded_simulation": "WITH po AS (SELECT DISTINCT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderpriority = '1-URGENT' AND p_type = 'PROMO'), h AS (SELECT c_nationkey AS slice, count(*) AS hits FROM customer JOIN po ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1) SELECT slice, hits, rank::INT AS rank FROM (SELECT *, rank() OVER (ORDER BY hits DESC) AS rank FROM h) WHERE rank <= 5",
-    "chunk_split": None,
 }
-ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}
