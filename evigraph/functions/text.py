@@ -178,7 +178,7 @@ def json_payload(text: Column) -> Column:
     fence = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     brackets = F.regexp_extract(text, r"(?s)(\[.*\])", 1)
-    return F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in (fence, braces, brackets)])
+    return F.coalesce(*[F.when(F.btrim(c, F.lit(" \n\r\t")) != "", F.btrim(c, F.lit(" \n\r\t"))) for c in (fence, braces, brackets)])
 
 
 def spans_overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
