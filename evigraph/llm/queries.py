@@ -22,9 +22,9 @@ def vocabulary(name: str) -> str:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and lengths by merges and by Viterbi, and digests of both decodings."""
     model = vocabulary("piece_bpe_32k.model")
-    encoded = sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), model)
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
     count = lambda ids: (F.octet_length(ids) / 4).cast("long")
-    return sentencepiece_codec.decode_documents(encoded, model).select(
+    return sentencepiece_codec.round_trip_documents(docs, model).select(
         "doc_id",
         count("ids").alias("n_tokens"),
         F.crc32("ids").alias("ids_crc32"),

@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from .common import mix
 
 SPACE = "▁"
-_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Longer words are merged one by one, with a heap.
@@ -48,6 +47,7 @@ class PieceModel:
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
         usual = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
         self.ids = {self.pieces[i]: i for i in usual}
+        self.split = self._splitter().findall
         self.longest = max(map(len, self.ids), default=1)
         self.shown = [b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         keys = np.array([self._key(self.pieces[i]) for i in usual], np.uint64)
@@ -59,6 +59,18 @@ class PieceModel:
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two pieces share a key")
 
+    def _splitter(self) -> re.Pattern:
+        """Cuts texts where no piece reaches across: before spaces, and before
+        runs of those marks that follow only each other within pieces."""
+        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
+            return re.compile("(?s).+")
+        pairs = {(b, c) for p in self.ids for b, c in zip(p, p[1:]) if b != SPACE}
+        free = {c for p in self.ids for c in p if not (c.isalpha() or c in "0123456789") and c != SPACE}
+        while bad := {c for b, c in pairs if c in free and b not in free}:
+            free -= bad
+        own = "".join(map(re.escape, sorted(free)))
+        return re.compile(f"{SPACE}*[{own}]+[^{SPACE}{own}]*|{SPACE}*[^{SPACE}{own}]+|{SPACE}+" if own else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+
     @staticmethod
     def _key(piece: str) -> int:
         codes = np.array([*map(ord, piece)], np.uint64)
@@ -77,9 +89,10 @@ class PieceModel:
         np.cumsum(codes * _powers(_BASE, length)[:length], axis=1, out=sums[:, 1:])
         return sums, _powers(_BASE_INVERSE, length)
 
-    def viterbi(self, words: list[str]) -> list[list[tuple[int, int, int]]]:
-        """(start, end, id or -1) of the segmentation with the greatest sum of
-        scores; words of one length. Ties go to the longer last piece."""
+    def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The segmentation with the greatest sum of scores, of words of one
+        length: at each piece's first character its end and its id (or -1), at
+        other places 0. Ties go to the longer last piece."""
         sums, down = self._prefix(words)
         n, length = len(words), len(words[0])
         every = np.arange(n)
@@ -96,18 +109,17 @@ class PieceModel:
             best[:, end], back[:, end] = total[every, pick], starts[pick]
             chosen = at[every, pick]
             piece[:, end] = np.where(chosen >= 0, self.key_ids[chosen], -1)
-        out = []
-        for i in range(n):
-            spans, end = [], length
-            while end:
-                start = int(back[i, end])
-                spans.append((start, end, int(piece[i, end])))
-                end = start
-            out.append(spans[::-1])
-        return out
-
-    def merge(self, words: list[str]) -> list[list[tuple[int, int, int]]]:
-        """(start, end, id or -1) after joining, again and again, each word's
+        ends = np.zeros((n, length), np.int64)
+        ids = np.full((n, length), -1)
+        row, end = every, np.full(n, length)
+        while len(row):
+            start = back[row, end]
+            ends[row, start], ids[row, start] = end, piece[row, end]
+            row, end = row[start > 0], start[start > 0]
+        return ends, ids
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Like ``viterbi``, after joining, again and again, each word's
         neighbours whose join is the piece of greatest score, leftmost first."""
         sums, down = self._prefix(words)
         n, length = len(words), len(words[0])
@@ -131,21 +143,17 @@ class PieceModel:
             active, start = active[some], start[some]
             middle = ends[active, start]
             end = ends[active, middle]
-            ends[active, start] = end
+            ends[active, start], ends[active, middle] = end, 0
             score[active, middle] = score[active, start] = -np.inf
             before[active, end] = start
             rate(active, start)
             earlier = before[active, start]
             rate(active[earlier >= 0], earlier[earlier >= 0])
-        out = []
-        for i, word in enumerate(words):
-            spans, start = [], 0
-            while start < length:
-                end = int(ends[i, start])
-                spans.append((start, end, self.ids.get(word[start:end], -1)))
-                start = end
-            out.append(spans)
-        return out
+        row, start = np.nonzero(ends)
+        at = self.probe(sums, row, start, ends[row, start], down)
+        ids = np.full((n, length), -1)
+        ids[row, start] = np.where(at >= 0, self.key_ids[at], -1)
+        return ends, ids
 
     def merge_long(self, word: str) -> list[tuple[int, int, int]]:
         """``merge`` of one word by a heap of neighbours."""
@@ -198,7 +206,14 @@ class PieceModel:
             step = max(1, 400_000 // (length * (min(length, self.longest) if viterbi else 1)))
             for i in range(0, len(same), step):
                 part = same[i : i + step]
-                out.update((w, self._blob(w, s)) for w, s in zip(part, run(part), strict=True))
+                ends, ids = run(part)
+                used = ends > 0
+                cut = np.concatenate([[0], np.cumsum(used.sum(axis=1))]) * 4
+                blob, at = ids[used].astype("<u4").tobytes(), cut.tolist()
+                out.update(zip(part, map(lambda s, e: blob[s:e], at[:-1], at[1:]), strict=True))
+                for j in np.flatnonzero((used & (ids < 0)).any(axis=1)).tolist():
+                    start = np.flatnonzero(used[j])
+                    out[part[j]] = self._blob(part[j], list(zip(start.tolist(), ends[j, start].tolist(), ids[j, start].tolist(), strict=True)))
         return out
 
     def decode(self, blob: bytes) -> str:
@@ -237,7 +252,9 @@ def _is_bpe(model: bytes) -> bool:
 
 
 _models: dict[str, tuple[PieceModel, dict[bool, dict[str, bytes]]]] = {}
-KEEP = 250_000
+KEEP = 300_000
+#: Documents that are encoded together.
+STEP = 512
 
 
 def _loaded(path: str) -> tuple[PieceModel, dict[bool, dict[str, bytes]]]:
@@ -250,7 +267,7 @@ def encode_texts(texts: list[str | None], path: str, viterbi: bool) -> list[byte
     """The ids of every text; words met before are remembered by the worker."""
     model, memory = _loaded(path)
     known = memory[viterbi]
-    words = [_WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+    words = [model.split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
     if len(known) > KEEP:
         known.clear()
     new = model.encode_words(list(dict.fromkeys(w for ws in words for w in ws if w not in known)), viterbi)
@@ -271,26 +288,48 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _loaded(model)[0].bpe
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = part.column(1).to_pylist()
-                viterbi = encode_texts(texts, model, True)
-                ids = encode_texts(texts, model, False) if own else viterbi
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), pa.array(viterbi, pa.binary())], names=["doc_id", "ids", "viterbi_ids"])
+            for at in range(0, batch.num_rows, STEP):
+                yield _encoded(batch.slice(at, STEP), model)
 
     return docs.select("doc_id", "text").mapInArrow(encoded, "doc_id long, ids binary, viterbi_ids binary")
 
 
+def _encoded(part: pa.RecordBatch, model: str) -> pa.RecordBatch:
+    texts = part.column(1).to_pylist()
+    viterbi = encode_texts(texts, model, True)
+    ids = encode_texts(texts, model, False) if _loaded(model)[0].bpe else viterbi
+    return pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), pa.array(viterbi, pa.binary())], names=["doc_id", "ids", "viterbi_ids"])
+
+
+def _decoded(part: pa.RecordBatch, model: str) -> pa.RecordBatch:
+    pieces = _loaded(model)[0]
+    texts = [pa.array([None if b is None else pieces.decode(b) for b in part.column(c).to_pylist()], pa.string()) for c in (1, 2)]
+    return pa.RecordBatch.from_arrays([*part.columns, *texts], names=["doc_id", "ids", "viterbi_ids", "text", "viterbi_text"])
+
+
+_TEXTS = "doc_id long, ids binary, viterbi_ids binary, text string, viterbi_text string"
+
+
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
     """``encoded(doc_id, ids, viterbi_ids)`` with the texts that both stand
     for; null ids decode to null."""
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _loaded(model)[0]
         for batch in batches:
-            texts = [pa.array([None if b is None else pieces.decode(b) for b in batch.column(c).to_pylist()], pa.string()) for c in (1, 2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *texts], names=["doc_id", "ids", "viterbi_ids", "text", "viterbi_text"])
+            for at in range(0, batch.num_rows, STEP):
+                yield _decoded(batch.slice(at, STEP), model)
+
+    return encoded.select("doc_id", "ids", "viterbi_ids").mapInArrow(decoded, _TEXTS)
+
+
+def round_trip_documents(docs: DataFrame, model: str) -> DataFrame:
+    """``decode_documents(encode_documents(docs))`` in one Python worker, so
+    that ids do not pass through the JVM in between."""
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP):
+                yield _decoded(_encoded(batch.slice(at, STEP), model), model)
 
-    return encoded.select("doc_id", "ids", "viterbi_ids").mapInArrow(decoded, "doc_id long, ids binary, viterbi_ids binary, text string, viterbi_text string")
+    return docs.select("doc_id", "text").mapInArrow(both, _TEXTS)

@@ -35,12 +35,13 @@ def test_merges_equal_library(library):
 def test_viterbi_finds_the_greatest_score(library):
     model = codec._loaded(PATH)[0]
     model_score = lambda p: model.scores.get(p)
-    words = sorted({w for t in texts() for w in codec._WORD.findall(t.replace(" ", codec.SPACE)) if len(w) < 40})
+    words = sorted({w for t in texts() for w in model.split(t.replace(" ", codec.SPACE)) if len(w) < 40})
     by_length = {}
     for w in words:
         by_length.setdefault(len(w), []).append(w)
     for length, same in by_length.items():
-        for word, spans in zip(same, model.viterbi(same)):
+        for word, row_ends, row_ids in zip(same, *model.viterbi(same)):
+            spans = [(s, int(e), int(row_ids[s])) for s, e in enumerate(row_ends) if e]
             assert "".join(word[s:e] for s, e, _ in spans) == word
             total = sum(model.scores[word[s:e]] if i >= 0 else model.worst for s, e, i in spans)
             best = [0.0] + [-np.inf] * length
@@ -60,5 +61,6 @@ def test_documents_round_trip(spark, library):
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     got = codec.decode_documents(codec.encode_documents(docs, PATH), PATH).collect()
     assert sorted(((r.doc_id, r.text, r.viterbi_text) for r in got), key=repr) == sorted(((i, t or "", t or "") for i, t, _ in rows), key=repr)
+    assert sorted(map(tuple, codec.round_trip_documents(docs, PATH).collect()), key=repr) == sorted(map(tuple, got), key=repr)
     assert all(ids(r.ids) == library.encode(r.text) for r in got)
     assert codec.encode_documents(docs.limit(0), PATH).collect() == []
