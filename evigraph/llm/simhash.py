@@ -16,6 +16,8 @@ from .substrings import cut
 SEED = 42
 #: Table rows of one key that a task compares with all probes of that key.
 BLOCK = 4096
+#: Documents that are fingerprinted together, which bounds a worker's memory.
+STEP = 512
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -52,9 +54,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     fingerprint 0, texts under ``shingle`` words are one shingle."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array(text_fingerprints(batch.column(1).to_pylist(), shingle), np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps), batch.column(2)], names=["doc_id", "fp", "content"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, STEP):
+                batch = whole.slice(at, STEP)
+                fps = np.array(text_fingerprints(batch.column(1).to_pylist(), shingle), np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps), batch.column(2)], names=["doc_id", "fp", "content"])
 
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("content")).mapInArrow(of, "doc_id long, fp long, content long")
 

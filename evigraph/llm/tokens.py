@@ -40,7 +40,7 @@ class PartEncoder:
     script go to the library whole. Null and "" have no ids.
     """
 
-    def __init__(self, path: str, spaces: bool, keep: int = 800_000):
+    def __init__(self, path: str, spaces: bool, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
