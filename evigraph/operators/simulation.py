@@ -25,7 +25,7 @@ def _until_stable(pairs: DataFrame, keep, rounds: int) -> DataFrame:
     raise RuntimeError(f"simulation not settled after {rounds} rounds")
 
 
-def hyper_simulation(allowed: DataFrame, query_edges: DataFrame, d_match: DataFrame, strict: bool = False, rounds: int = ROUNDS) -> DataFrame:
+def edge_simulation(allowed: DataFrame, query_edges: DataFrame, d_match: DataFrame, strict: bool = False, rounds: int = ROUNDS) -> DataFrame:
     """The pairs (instance, u, v) of ``allowed`` that stay supported.
 
     ``query_edges`` is (instance, edge, u), ``d_match`` (instance, edge, sc, u,

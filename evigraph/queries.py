@@ -280,14 +280,14 @@ def bounded_simulation(s, d):
     return match.rank_slices(slices, slices, 5).select("slice", "hits", F.col("rank").cast("int").alias("rank"))
 
 
-def hyper_simulation(s, d):
+def edge_simulation(s, d):
     """Order lines as query edges: u is a supplier, v a part; matches are lines
     with a discount; a pair stays if all suppliers of some order are matched."""
     lines = _t(s, d, "lineitem", "l_orderkey", "l_suppkey", "l_partkey", "l_discount")
     edges = lines.select(F.lit(0).alias("instance"), F.col("l_orderkey").alias("edge"), F.col("l_suppkey").alias("u"))
     matched = lines.select(F.lit(0).alias("instance"), F.col("l_orderkey").alias("edge"), F.col("l_orderkey").alias("sc"), F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v"))
     allowed = lines.where("l_discount > 0.02").select(F.lit(0).alias("instance"), F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v"))
-    return simulation.hyper_simulation(allowed, edges, matched).select("u", "v")
+    return simulation.edge_simulation(allowed, edges, matched).select("u", "v")
 
 
 def rule_graph(s, d):
@@ -313,7 +313,7 @@ QUERIES = {f.__name__: f for f in (
     vertex_provenance_slices, shortest_hyperpaths, h_hop_neighbors, transitive_closure, lca_pairs, merge_components, merge_graphs,
     dmatch_aggregate, greedy_one_to_one, cosine_threshold_pairs, hoyer_score, knn_exact, knn_cells, context_trim_antijoin,
     evidence_stats, evidence_conflicts, evidence_coverage, structured_context, supporting_span, chunk_split, record_parse,
-    resume_skip, sampling_weights, weighted_mean, tie_adjusted_rank, bounded_simulation, hyper_simulation, rule_graph,
+    resume_skip, sampling_weights, weighted_mean, tie_adjusted_rank, bounded_simulation, edge_simulation, rule_graph,
     *map(_method, methods.METHODS),
 )}
 

@@ -86,11 +86,11 @@ def test_bounded_simulation_equals_brute_force(spark):
         assert pairs == brute_bounded(allowed, query, data, bound) and pairs <= allowed
 
 
-def test_hyper_simulation_rule(spark):
+def test_edge_simulation_rule(spark):
     edges = spark.createDataFrame([(0, 1, "a"), (0, 1, "b"), (0, 2, "b"), (0, 2, "c")], "instance int, edge int, u string")
     matches = spark.createDataFrame([(0, 1, 10, "a", 1), (0, 1, 10, "b", 2), (0, 2, 20, "b", 2), (0, 2, 20, "c", 3)], "instance int, edge int, sc int, u string, v int")
     pairs = lambda rows: spark.createDataFrame([(0, *r) for r in rows], "instance int, u string, v int")
-    run = lambda rows, **k: {(r.u, r.v) for r in simulation.hyper_simulation(pairs(rows), edges, matches, **k).collect()}
+    run = lambda rows, **k: {(r.u, r.v) for r in simulation.edge_simulation(pairs(rows), edges, matches, **k).collect()}
     full = [("a", 1), ("b", 2), ("c", 3)]
     assert run(full) == run(full, strict=True) == set(full)
     assert run([("a", 1), ("b", 2)]) == {("a", 1), ("b", 2)}
