@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Codebooks, entries of each, and the beam of the encoder.
-BOOKS, ENTRIES, BEAM = 8, 256, 4
+BOOKS, ENTRIES, BEAM = 16, 256, 4
 #: Vectors that the codebooks are fitted on, at most.
-SAMPLE = 8192
+SAMPLE = 16_384
 #: Rows that are encoded and scored together, and the share that is reranked.
-BLOCK, RERANK = 4096, 0.04
+BLOCK, RERANK = 4096, 0.08
 #: Queries that are sent to all executors together (8 bytes a component).
 QUERY_BLOCK = 16_384
 
