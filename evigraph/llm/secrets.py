@@ -100,14 +100,14 @@ def find_secrets(docs: DataFrame, carry: str | None = None) -> DataFrame:
     left out. Null and empty texts have none. Each row is scanned alone and
     whole, without a shuffle. A column named by ``carry`` is returned too.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[F.col(carry).alias("_carried")] * bool(carry))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *([F.col(carry).alias("_carried")] if carry else []))
     rows = rows.withColumn("base", F.concat(spans_of(F.col("text"), ASSIGN, 0, ASSIGN_LENGTH), spans_of(F.col("text"), ACCESS, 1), spans_of(F.col("text"), HEX, 2)))
     rows = rows.withColumn("long", spans_of(F.col("text"), CANDIDATE, 3))
     free = F.filter("long", lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
     more = F.filter(free, lambda s: _random(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])))
     more = F.when(F.size("long") > 0, more).otherwise(F.array().cast(_SPAN))
     order = F.array_sort(F.transform(F.concat("base", more), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    return rows.select("doc_id", "text", *[F.col("_carried").alias(carry)] * bool(carry), F.transform(order, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+    return rows.select("doc_id", "text", *([F.col("_carried").alias(carry)] if carry else []), F.transform(order, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
