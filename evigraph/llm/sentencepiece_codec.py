@@ -252,7 +252,7 @@ def _is_bpe(model: bytes) -> bool:
 
 
 _models: dict[str, tuple[PieceModel, dict[bool, dict[str, bytes]]]] = {}
-KEEP = 300_000
+KEEP = 600_000
 #: Documents that are encoded together.
 STEP = 512
 
@@ -263,11 +263,18 @@ def _loaded(path: str) -> tuple[PieceModel, dict[bool, dict[str, bytes]]]:
     return _models[path]
 
 
-def encode_texts(texts: list[str | None], path: str, viterbi: bool) -> list[bytes]:
-    """The ids of every text; words met before are remembered by the worker."""
+def split_texts(texts: list[str | None], path: str) -> list[list[str]]:
+    """Every text's words, spaces shown; none for null and ""."""
+    split = _loaded(path)[0].split
+    return [split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+
+
+def encode_texts(texts: list[str | None], path: str, viterbi: bool, words: list[list[str]] | None = None) -> list[bytes]:
+    """The ids of every text; words met before are remembered by the worker.
+    ``words`` are the texts' words, if they are split already."""
     model, memory = _loaded(path)
     known = memory[viterbi]
-    words = [model.split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+    words = split_texts(texts, path) if words is None else words
     if len(known) > KEEP:
         known.clear()
     new = model.encode_words(list(dict.fromkeys(w for ws in words for w in ws if w not in known)), viterbi)
@@ -297,8 +304,9 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
 
 def _encoded(part: pa.RecordBatch, model: str) -> pa.RecordBatch:
     texts = part.column(1).to_pylist()
-    viterbi = encode_texts(texts, model, True)
-    ids = encode_texts(texts, model, False) if _loaded(model)[0].bpe else viterbi
+    words = split_texts(texts, model)
+    viterbi = encode_texts(texts, model, True, words)
+    ids = encode_texts(texts, model, False, words) if _loaded(model)[0].bpe else viterbi
     return pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), pa.array(viterbi, pa.binary())], names=["doc_id", "ids", "viterbi_ids"])
 
 
