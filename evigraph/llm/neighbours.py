@@ -77,8 +77,9 @@ def search(vectors: DataFrame, divisor: int = 100, k: int = 10, rerank: float =
     distance in double precision; ties go to the smaller vec_id. Every row is
     encoded; codebooks are fitted on at most ``sample`` rows, those with the
     smallest hashes of vec_id. Rows are scored in blocks of ``BLOCK`` from
-    look-up tables, the best ``rerank`` of a block (64 at least) by the exact
-    distance, so quality does not depend on the table's size. Queries go out
+    look-up tables, the best ``rerank`` of a block (64 at least, and all that tie
+    with the last) by the exact distance; of equal vectors only the smallest
+    ids take places. So quality does not depend on the table's size. Queries go out
     ``QUERY_BLOCK`` at a time, each such block in a pass over the table. Vectors
     that are null, zero, of another length than most, or with null or
     non-finite components take no part; rows that share a vec_id are rows of
@@ -115,6 +116,20 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
+def _first_copies(ids: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows that may be among the ``k`` nearest: of equal vectors
+    those of the ``k + 1`` smallest ids, as one may be the query's, and ``k`` of each id."""
+    vector = np.unique(np.ascontiguousarray(rows + 0.0).view(f"V{rows.itemsize * rows.shape[1]}").ravel(), return_inverse=True)[1]
+    order = np.lexsort((ids, vector))
+    vector, ids, at = vector[order], ids[order], np.arange(len(ids))
+    first = np.append(True, vector[1:] != vector[:-1])
+    fresh = first | np.append(True, ids[1:] != ids[:-1])
+    number = np.cumsum(fresh)
+    of_vector = number - np.maximum.accumulate(np.where(first, number, 0))
+    of_id = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    return order[(of_vector <= k) & (of_id < k)]
+
+
 def _scored(valid: DataFrame, learnt, asked, k: int, rerank: float) -> DataFrame:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         ids, rows, held = [], [], 0
@@ -134,18 +149,22 @@ def _scored(valid: DataFrame, learnt, asked, k: int, rerank: float) -> DataFrame
         best_id = np.full((len(query_ids), 0), -1)
         best = np.zeros((len(query_ids), 0))
         for ids, rows in blocks(batches):
+            short = max(64, k + 1, int(rerank * len(ids)))
+            some = _first_copies(ids, rows, k)
+            ids, rows, short = ids[some], rows[some], min(len(some), short)
             codes, norms = encode(rows, books)
-            short = min(len(ids), max(64, k + 1, int(rerank * len(ids))))
-            new_id, new = np.empty((len(queries), short), np.int64), np.empty((len(queries), short))
+            new_id, new = np.full((len(queries), k), -1), np.full((len(queries), k), np.inf)
             for q, query in enumerate(queries):
                 tables = books @ query
                 score = norms.copy()
                 for m in range(len(books)):
                     score -= 2 * tables[m][codes[:, m]]
-                near = np.argpartition(score, short - 1)[:short]
+                # rows that tie with the last place are all in
+                near = np.flatnonzero(score <= np.partition(score, short - 1)[short - 1])
                 exact = np.sqrt(((rows[near] - query) ** 2).sum(axis=1))
                 exact[ids[near] == query_ids[q]] = np.inf
-                new_id[q], new[q] = ids[near], exact
+                order = np.lexsort((ids[near], exact))[:k]
+                new_id[q, : len(order)], new[q, : len(order)] = ids[near][order], exact[order]
             best_id, best = np.concatenate([best_id, new_id], axis=1), np.concatenate([best, new], axis=1)
             order = np.lexsort((best_id, best), axis=1)[:, :k]
             best_id, best = np.take_along_axis(best_id, order, axis=1), np.take_along_axis(best, order, axis=1)
