@@ -24,7 +24,9 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Candidates that are no secrets. Words and names in one case or
 #: capitalised, paths of such words, numbers, rules of one repeated character,
 #: and placeholders.
-ALLOWED = (r"^[-_/+=]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/+=]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[-_/+=]*$", r"^(.)\1+$", r"(?i)example|placeholder|dummy|changeme|your[-_]?|x{6,}|0{8,}|1234567")
+ALLOWED = (r"^[-_/+=]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/+=]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[-_/+=]*$", r"^(.)\1+$")
+#: Placeholders, with up to a window of the letters and digits around them.
+PLACEHOLDER = r"[A-Za-z0-9]{0,20}(?i:example|placeholder|dummy|changeme|your[-_]?|x{6,}|0{8,}|1234567)[A-Za-z0-9]{0,20}"
 
 _SPAN = "array<struct<kind:int,start:int,end:int>>"
 
@@ -91,20 +93,36 @@ def _random(word: Column) -> Column:
     return F.when(allowed, F.lit(False)).otherwise(F.coalesce(verdict, F.lit(False)))
 
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """``text`` with every character in ``spans`` made a space."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(state: Column, s: Column) -> Column:
+        gap = F.substring(text, state["at"] + 1, F.greatest(F.lit(0), s["start"] - state["at"]))
+        blank = F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(state["at"], s["start"])))
+        return F.struct(F.concat(state["out"], gap, blank).alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    joined = F.aggregate(ordered, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, joined).otherwise(text)
+
+
 def find_secrets(docs: DataFrame, carry: str | None = None) -> DataFrame:
     """Spans of secrets in ``docs(doc_id, text)``; one row for each.
 
     Returns doc_id, text and spans, an array of (kind, start, end) by start and
     kind, where kind indexes ``KINDS``. Kinds are searched one by one, so spans
-    of different kinds may overlap; entropy spans that touch a base span are
-    left out. Null and empty texts have none. Each row is scanned alone and
+    of different kinds may overlap; entropy is searched in what base spans and
+    placeholders leave of a run. Null and empty texts have none. Each row is scanned alone and
     whole, without a shuffle. A column named by ``carry`` is returned too.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *([F.col(carry).alias("_carried")] if carry else []))
     rows = rows.withColumn("base", F.concat(spans_of(F.col("text"), ASSIGN, 0, ASSIGN_LENGTH), spans_of(F.col("text"), ACCESS, 1), spans_of(F.col("text"), HEX, 2)))
-    rows = rows.withColumn("long", spans_of(F.col("text"), CANDIDATE, 3))
-    free = F.filter("long", lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-    more = F.filter(free, lambda s: _random(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])))
+    some = F.col("text").rlike(CANDIDATE)
+    rows = rows.withColumn("cut", F.when(some, F.concat("base", spans_of(F.col("text"), PLACEHOLDER, 3))))
+    rows = rows.withColumn("rest", F.when(some, _blanked(F.col("text"), F.col("cut"))).otherwise(""))
+    rows = rows.withColumn("long", spans_of(F.col("rest"), CANDIDATE, 3))
+    more = F.filter("long", lambda s: _random(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])))
     more = F.when(F.size("long") > 0, more).otherwise(F.array().cast(_SPAN))
     order = F.array_sort(F.transform(F.concat("base", more), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     return rows.select("doc_id", "text", *([F.col("_carried").alias(carry)] if carry else []), F.transform(order, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
