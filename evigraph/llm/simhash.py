@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, connected_components, stored
+from .common import WORD, Words, connected_components, stored
+from .lines import _banded, met_links
 from .substrings import cut
 
 SEED = 42
@@ -156,6 +157,43 @@ def near_dedup(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFram
     return joined.dropDuplicates(["held_id", "held_content"]).select("row.*")
 
 
+def _shingles(norm: Column, shingle: int) -> Column:
+    """Hashes of the word shingles of single-spaced words."""
+    words = F.split(norm, " ")
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (shingle - 1)))
+    return F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(words, i, shingle), " ")))
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 16, rows: int = 5) -> DataFrame:
+    """One row of each group of near copies in ``docs``, with all its columns.
+
+    Linked are texts whose sets of word shingles have a Jaccard similarity of
+    ``similarity`` or more, verified, if they meet in a MinHash key: at 0.8 with
+    a probability of 1 - (1 - 0.8**rows)**bands, 0.998. Which row stays is as
+    in ``near_dedup``; texts without words are equal.
+    """
+    content = F.xxhash64("doc_id", "text")
+    upper = "".join(map(chr, range(65, 91)))
+    norm = F.array_join(F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), upper, upper.lower()), F.lit(f"({WORD})"), F.lit(1)), " ")
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", content.alias("content")))
+    texts = docs.select("doc_id", "text", norm.alias("norm")).withColumn("id", F.xxhash64("norm"))
+    distinct = stored(texts.groupBy("id").agg(own.alias("own"), F.min("norm").alias("norm")), "near_texts")
+    keys = _banded(distinct.select("id", "norm").repartition("id").select("id", F.explode(_shingles(F.col("norm"), shingle)).alias("w")), bands, rows, 2)
+
+    def verify(asked: DataFrame, found: DataFrame) -> DataFrame:
+        sets = found.select("id", F.array_distinct(_shingles(F.col("norm"), shingle)).alias("s"))
+        both = asked.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+        both = both.withColumn("same", F.size(F.array_intersect("x", "y")))
+        return both.where(F.col("same") >= similarity * (F.size("x") + F.size("y") - F.col("same")) - 1e-9).select("a", "b")
+
+    members = connected_components(met_links(keys, distinct, verify), "a", "b")
+    labelled = distinct.select("id", "own").join(members, "id", "left")
+    chosen = labelled.groupBy(F.coalesce("component", "id")).agg(F.min("own").alias("own")).select(F.col("own.doc_id").alias("chosen_id"), F.col("own.content").alias("chosen_content"))
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("held_id"), content.alias("held_content"))
+    joined = held.join(chosen, F.col("held_id").eqNullSafe(F.col("chosen_id")) & (F.col("held_content") == F.col("chosen_content")))
+    return joined.dropDuplicates(["held_id", "held_content"]).select("row.*")
+
+
 def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
     """One row for each of ``docs(doc_id, text)``: doc_id, fingerprint (16 hex
     digits) and component_id, the smallest doc_id it reaches over links.
