@@ -198,7 +198,7 @@ def knn_exact(s, d):
 def knn_cells(s, d):
     vectors = _t(s, d, "embeddings", "vec_id", "embedding")
     centres = retrieval.fit_cells(vectors, 16, 3)
-    return retrieval.cell_neighbours(_queries(s, d), retrieval.assign_cells(vectors, centres), centres, 5)
+    return retrieval.cell_neighbours(_queries(s, d), retrieval.assign_cells(vectors, centres), centres, 5, probes=10)
 
 
 def context_trim_antijoin(s, d):
