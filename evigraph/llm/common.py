@@ -48,6 +48,12 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``rows`` rows; else the
+    join shuffles. Rows are a few numbers each, so about 50 bytes a row."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Columns of one table; only these reach the scan's read schema."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)

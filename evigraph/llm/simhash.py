@@ -10,12 +10,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Words, connected_components, stored
-from .lines import _banded, met_links
+from .common import WORD, Words, connected_components, small, stored
+from .lines import similar_links, sized_id
 from .substrings import cut
 
 SEED = 42
-#: Table rows of one key that a task compares with all probes of that key.
+#: Entries of one key that a task compares with all probes of that key.
 BLOCK = 4096
 #: Documents that are fingerprinted together, which bounds a worker's memory.
 STEP = 512
@@ -64,24 +64,39 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("content")).mapInArrow(of, "doc_id long, fp long, content long")
 
 
-def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct ``fps``: one breadth-first
-    search, each step a vector of whole Hamming distances."""
-    left, edges = fps, []
-    while len(left) > 1:
-        todo, left = [left[0]], left[1:]
-        while todo and len(left):
-            x = todo.pop()
-            near = np.bitwise_count(left ^ x) <= distance
+def forest(entries: np.ndarray, probes: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among distinct ``entries`` and between
+    entries and ``probes``: breadth-first searches whose steps are vectors of
+    whole Hamming distances. Probes are never compared with each other, so the
+    work grows with entries times all rows."""
+    edges: list[tuple[int, int]] = []
+    while len(entries):
+        todo, entries = [(entries[0], True)], entries[1:]
+        while todo:
+            x, entry = todo.pop()
+            near = np.bitwise_count(entries ^ x) <= distance
             if near.any():
-                found = left[near]
-                edges.extend((int(x), int(y)) for y in found)
-                todo.extend(found)
-                left = left[~near]
+                edges.extend((int(x), int(y)) for y in entries[near])
+                todo.extend((y, True) for y in entries[near])
+                entries = entries[~near]
+            if entry and len(probes):
+                near = np.bitwise_count(probes ^ x) <= distance
+                if near.any():
+                    edges.extend((int(x), int(y)) for y in probes[near] if y != x)
+                    todo.extend((y, False) for y in probes[near])
+                    probes = probes[~near]
     return edges
 
 
-def links(prints: DataFrame, distance: int = 3) -> DataFrame:
+def _table(fp: Column, low: int, wide: int, *of: Column) -> tuple[Column, Column]:
+    """(key, keys of its ball of radius 1) of ``wide`` bits of ``fp``."""
+    part = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << wide) - 1).cast("long"))
+    flips = [part.bitwiseXOR(F.lit(1 << i).cast("long")) for i in range(wide)]
+    hashed = lambda x: F.xxhash64(*of, F.lit(low), x)
+    return hashed(part), F.array(*map(hashed, flips))
+
+
+def links(prints: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of distinct ``fp``
     at ``distance`` or fewer bits.
 
@@ -89,53 +104,66 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     three bits one half differs in at most one, so probing each table with the
     Hamming ball of radius 1 around the half finds all; whole distances are
     checked, and each key gives a spanning forest, never its pairs. A key with
-    over ``BLOCK`` table rows is dealt in blocks, all met by all its probes.
+    over ``block`` entries is a table of its own, indexed by the two quarters of
+    the other half: those differ in at most three bits together, so again one
+    quarter is found by a ball of radius 1. Such a key holds 2**16 entries at
+    most, for 48 of 64 bits are fixed.
     """
     if distance > 3:
         raise ValueError("two segments with balls of radius 1 find distances up to 3")
-    half = [F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(0xFFFFFFFF)]
-    keyed = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("segment"), h.alias("key")) for i, h in enumerate(half)])).alias("s")).select("fp", "s.segment", "s.key")
-    hot = keyed.groupBy("segment", "key").count().where(F.col("count") > BLOCK).select("segment", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    ball = F.array(*[F.lit(1 << i).cast("long") for i in range(32)])
-    probes = keyed.select("fp", "segment", F.explode(ball).alias("bit"), "key").select("fp", "segment", F.col("key").bitwiseXOR(F.col("bit")).alias("key"), F.lit(True).alias("probe"))
-    entries = keyed.select("fp", "segment", "key", F.lit(False).alias("probe"))
-    every = entries.unionByName(probes)
-    if n_hot := hot.count():
-        hot = F.broadcast(hot) if n_hot <= 10_000 else hot
-        every = every.join(hot, ["segment", "key"], "left")
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-        ways = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).when(F.col("probe"), F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).otherwise(F.array(own.cast("long")))
-        # an entry also probes the blocks it is not in: entries of a key differ in the other half only
-        again = every.where("not probe and blocks is not null").withColumn("probe", F.lit(True))
-        every = every.unionByName(again).withColumn("block", F.explode(ways)).drop("blocks")
-    else:
-        every = every.withColumn("block", F.lit(0).cast("long"))
+    fp = F.col("fp")
+    rows = []
+    for low in (0, 32):
+        key, ball = _table(fp, low, 32)
+        rows.append(prints.select("fp", F.lit(low).alias("low"), key.alias("key"), ball.alias("ball")))
+    both = rows[0].unionByName(rows[1])
+    every = both.select("fp", "low", "key", F.lit(False).alias("probe")).unionByName(both.select("fp", "low", F.explode("ball").alias("key"), F.lit(True).alias("probe")))
+    hot = stored(both.groupBy("key").count().where(F.col("count") > block).select("key", F.lit(True).alias("hot")), "simhash_hot")
+    if not hot.isEmpty():
+        marked = every.join(small(hot), "key", "left")
+        finer = []
+        for own in (0, 32):
+            inside = marked.where(F.col("hot") & (F.col("low") == own))
+            for low in (32 - own, 48 - own):
+                key, ball = _table(fp, low, 16, F.col("key"))
+                # entries of the key are probes too; the others are probes only
+                finer += [inside.where("not probe").select("fp", key.alias("key"), "probe"), inside.select("fp", F.explode(ball).alias("key"), F.lit(True).alias("probe")), inside.where("probe").select("fp", key.alias("key"), "probe")]
+        every = marked.where("hot is null").select("fp", "key", "probe")
+        for part in finer:
+            every = every.unionByName(part)
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Sorted rows in steps that end where a key ends."""
+        held = None
+        for batch in batches:
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "key", "probe")]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            at = int(np.searchsorted(held[1], held[1][-1])) if len(held[1]) else 0
+            if at:
+                yield tuple(x[:at] for x in held)
+                held = [x[at:] for x in held]
+        if held is not None and len(held[0]):
+            yield tuple(held)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        fp, key, probe, segment, block = (table.column(c).to_numpy() for c in ("fp", "key", "probe", "segment", "block"))
-        order = np.lexsort((probe, block, key, segment))
-        fp, probe = fp[order].view(np.uint64), probe[order]
-        code = np.stack([segment[order].astype(np.int64), key[order], block[order]])
-        begin = np.flatnonzero(np.concatenate([[True], (code[:, 1:] != code[:, :-1]).any(axis=0)]))
-        end = np.append(begin[1:], len(fp))
-        some = ~probe[begin] & (end - begin > 1)
-        edges: set[tuple[int, int]] = set()
-        begin, end = begin[some], end[some]
-        pairs = end - begin == 2
-        a, b = fp[begin[pairs]], fp[begin[pairs] + 1]
-        near = (np.bitwise_count(a ^ b) <= distance) & (a != b)
-        edges.update(zip(a[near].tolist(), b[near].tolist()))
-        for s, e in zip(begin[~pairs].tolist(), end[~pairs].tolist()):
-            edges.update(forest(np.unique(fp[s:e]), distance))
-        a, b = np.array(list(edges), np.uint64).reshape(-1, 2).T
-        yield pa.RecordBatch.from_arrays([pa.array(a.copy().view(np.int64)), pa.array(b.copy().view(np.int64))], names=["a", "b"])
-
-    dealt = every.repartition("segment", "key", "block")
-    return dealt.select("fp", "key", "probe", "segment", "block").mapInArrow(match, "a long, b long").distinct()
+        for fp, key, probe in groups(batches):
+            fp = fp.view(np.uint64)
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            end = np.append(begin[1:], len(fp))
+            some = ~probe[begin] & (end - begin > 1)
+            begin, end = begin[some], end[some]
+            pairs = end - begin == 2
+            a, b = fp[begin[pairs]], fp[begin[pairs] + 1]
+            near = (np.bitwise_count(a ^ b) <= distance) & (a != b)
+            edges = set(zip(a[near].tolist(), b[near].tolist(), strict=True))
+            for s, e in zip(begin[~pairs].tolist(), end[~pairs].tolist(), strict=True):
+                entries = ~probe[s:e]
+                edges.update(forest(np.unique(fp[s:e][entries]), np.unique(fp[s:e][~entries]), distance))
+            a, b = np.array(list(edges), np.uint64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(a.copy().view(np.int64)), pa.array(b.copy().view(np.int64))], names=["a", "b"])
+
+    dealt = every.select("fp", "key", "probe").repartition("key").sortWithinPartitions("key", "probe")
+    return dealt.mapInArrow(match, "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
@@ -157,41 +185,68 @@ def near_dedup(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFram
     return joined.dropDuplicates(["held_id", "held_content"]).select("row.*")
 
 
-def _shingles(norm: Column, shingle: int) -> Column:
-    """Hashes of the word shingles of single-spaced words."""
-    words = F.split(norm, " ")
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (shingle - 1)))
-    return F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(words, i, shingle), " ")))
+#: Smallest shingle hashes of a text that are its keys.
+SMALLEST = 6
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 16, rows: int = 5) -> DataFrame:
+def _shingled(texts: DataFrame, shingle: int) -> DataFrame:
+    """Adds ``norm`` (lower-case words, single-spaced), ``n_words`` and
+    ``shingles``, hashes of all word shingles; fewer words are one shingle."""
+    upper = "".join(map(chr, range(65, 91)))
+    words = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), upper, upper.lower()), F.lit(f"({WORD})"), F.lit(1))
+    staged = texts.withColumn("_words", words).withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
+    n = F.size("_h")
+    runs = F.transform(F.slice("_h", F.lit(1), n - (shingle - 1)), lambda x, i: F.xxhash64(x, *[F.get(F.col("_h"), i + j) for j in range(1, shingle)]))
+    whole = F.array(F.xxhash64("_h"))
+    return staged.select("*", F.array_join("_words", " ").alias("norm"), n.alias("n_words"), F.when(n >= shingle, runs).otherwise(whole).alias("shingles")).drop("_words", "_h")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near copies in ``docs``, with all its columns.
 
     Linked are texts whose sets of word shingles have a Jaccard similarity of
-    ``similarity`` or more, verified, if they meet in a MinHash key: at 0.8 with
-    a probability of 1 - (1 - 0.8**rows)**bands, 0.998. Which row stays is as
-    in ``near_dedup``; texts without words are equal.
+    ``similarity`` or more, verified, if they share one of their ``SMALLEST``
+    least shingle hashes (see ``lines.similar_links``); at 0.8 all differ with a
+    probability of 0.2 ** SMALLEST. The row with the smallest doc_id stays (null
+    ids last; among rows with one id the one whose content hashes smallest,
+    once). Null, empty and word-less texts are equal. Texts of any length take
+    part whole. An empty table gives no rows. Rows are held by id and content,
+    so other columns may have any name, and no task holds a group.
     """
     content = F.xxhash64("doc_id", "text")
-    upper = "".join(map(chr, range(65, 91)))
-    norm = F.array_join(F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), upper, upper.lower()), F.lit(f"({WORD})"), F.lit(1)), " ")
-    own = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", content.alias("content")))
-    texts = docs.select("doc_id", "text", norm.alias("norm")).withColumn("id", F.xxhash64("norm"))
-    distinct = stored(texts.groupBy("id").agg(own.alias("own"), F.min("norm").alias("norm")), "near_texts")
-    keys = _banded(distinct.select("id", "norm").repartition("id").select("id", F.explode(_shingles(F.col("norm"), shingle)).alias("w")), bands, rows, 2)
-
-    def verify(asked: DataFrame, found: DataFrame) -> DataFrame:
-        sets = found.select("id", F.array_distinct(_shingles(F.col("norm"), shingle)).alias("s"))
+    named = _shingled(docs.select("doc_id", "text", content.alias("content")), shingle)
+    keys = F.array_distinct(F.slice(F.sort_array("shingles"), 1, SMALLEST))
+    prints = stored(named.select("doc_id", "content", sized_id(F.xxhash64("norm"), F.col("n_words")).alias("id"), keys.alias("keys")), "near_prints")
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "content"))
+    distinct = stored(prints.groupBy("id").agg(own.alias("own"), F.min("keys").alias("keys")), "near_texts")
+
+    def verify(asked: DataFrame) -> DataFrame:
+        wanted = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        rows = stored(distinct.join(wanted, "id").select("id", "own.doc_id", "own.content"), "near_wanted")
+        one = docs.select("doc_id", "text", content.alias("content")).join(small(rows.select("content", "id"), 2_000_000), "content")
+        sets = _shingled(one, shingle).groupBy("id").agg(F.min(F.array_distinct("shingles")).alias("s"))
+        sets = stored(sets, "near_sets")
         both = asked.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
         both = both.withColumn("same", F.size(F.array_intersect("x", "y")))
         return both.where(F.col("same") >= similarity * (F.size("x") + F.size("y") - F.col("same")) - 1e-9).select("a", "b")
 
-    members = connected_components(met_links(keys, distinct, verify), "a", "b")
-    labelled = distinct.select("id", "own").join(members, "id", "left")
-    chosen = labelled.groupBy(F.coalesce("component", "id")).agg(F.min("own").alias("own")).select(F.col("own.doc_id").alias("chosen_id"), F.col("own.content").alias("chosen_content"))
-    held = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("held_id"), content.alias("held_content"))
-    joined = held.join(chosen, F.col("held_id").eqNullSafe(F.col("chosen_id")) & (F.col("held_content") == F.col("chosen_content")))
-    return joined.dropDuplicates(["held_id", "held_content"]).select("row.*")
+    members = stored(connected_components(similar_links(distinct.select("id", "keys"), similarity, verify), "a", "b"), "near_groups")
+    best = members.join(distinct, "id").groupBy("component").agg(F.min("own").alias("best"))
+    alone = distinct.join(small(members.select("id")), "id", "left_anti").select(F.col("own").alias("best"))
+    chosen = stored(best.select("best").union(alone).select("best.doc_id", "best.content"), "near_chosen")
+    # what goes is the smaller part; only of repeated rows one must be picked
+    counted = prints.groupBy("doc_id", "content").agg(F.count(F.lit(1)).alias("n"))
+    same = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["content"] == y["content"])
+    judged = counted.join(chosen.withColumnRenamed("doc_id", "d").withColumnRenamed("content", "c"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("content") == F.col("c")), "left")
+    judged = stored(judged.select("doc_id", "content", "n", F.col("c").isNotNull().alias("stays")), "near_judged")
+    held = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", content.alias("content"))
+    gone = small(judged.where("not stays or n > 1"))
+    out = held.join(gone, same(held, gone), "left_anti").select("row.*")
+    repeated = judged.where("stays and n > 1")
+    if not repeated.isEmpty():
+        again = small(repeated)
+        out = out.unionByName(held.join(again, same(held, again), "left_semi").dropDuplicates(["doc_id", "content"]).select("row.*"))
+    return out
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
@@ -202,12 +257,14 @@ def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 3) ->
     included. Repeated rows give repeated rows. A null doc_id is never the
     smallest; a component of null ids only has a null id. An empty table gives
     no rows. Copies of a text meet as one fingerprint with a smallest doc_id;
-    only distinct fingerprints are compared.
+    only distinct fingerprints are compared. Texts of any length are taken whole;
+    other columns are not read.
     """
     prints = stored(fingerprints(docs, shingle), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    members = connected_components(links(distinct.select("fp"), distance), "a", "b")
-    labelled = distinct.join(members.withColumnRenamed("id", "fp"), "fp", "left")
-    lowest = labelled.where("component is not null").groupBy("component").agg(F.min("low").alias("lowest"))
-    owner = labelled.join(lowest, "component", "left").select("fp", F.coalesce("lowest", "low").alias("component_id"))
-    return prints.join(owner, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash")
+    members = stored(connected_components(links(distinct.select("fp"), distance), "a", "b").withColumnRenamed("id", "fp"), "simhash")
+    lowest = stored(members.join(distinct, "fp").groupBy("component").agg(F.min("low").alias("component_id")), "simhash")
+    grouped = members.join(small(lowest), "component").select("fp", "component_id")
+    alone = distinct.join(small(members.select("fp")), "fp", "left_anti").select("fp", F.col("low").alias("component_id"))
+    owner = stored(grouped.union(alone), "simhash")
+    return prints.join(small(owner), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

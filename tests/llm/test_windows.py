@@ -118,3 +118,37 @@ def test_sha_of_kept_text(spark):
     docs = spark.createDataFrame([(1, "é  b\nc")], "doc_id long, text string")
     row = substrings.dedup_substrings(docs).select(F.sha2("kept_text", 256)).first()
     assert row[0] == hashlib.sha256("é b c".encode()).hexdigest()
+
+
+def test_a_key_with_many_fingerprints(spark):
+    """One half is equal in 20,000 fingerprints: that key is indexed again by
+    quarters. Components equal those of all pairs, found by numpy."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    low = np.unique(rng.integers(0, 1 << 32, 20_000, dtype=np.uint64))
+    fps = np.unique(np.concatenate([low | np.uint64(0xABCD1234 << 32), low[:500] ^ np.uint64(0b11), (low[:300] ^ np.uint64(1)) | np.uint64(0xABCD1235 << 32)]))
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, x in enumerate(fps):
+        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ x) <= 3).tolist():
+            root[find(i)] = find(i + 1 + j)
+    signed = fps.view(np.int64).tolist()
+    groups = {}
+    for i, x in enumerate(signed):
+        groups.setdefault(find(i), set()).add(x)
+    wanted = {frozenset(g) for g in groups.values() if len(g) > 1}
+    prints = spark.createDataFrame([(x,) for x in signed], "fp long")
+    edges = simhash.links(prints)
+    got = {}
+    for r in connected_components(edges, "a", "b").collect():
+        got.setdefault(r.component, set()).add(r.id)
+    assert {frozenset(g) for g in got.values()} == wanted and len(wanted) > 200
+    # a spanning forest: not many more edges than members
+    assert edges.count() <= 4 * sum(len(g) for g in wanted)
