@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text, vector, vertex
+from ..plans.tables import cut
 
 Scorer = Callable[[Column, Column], Column]
 
@@ -49,6 +49,73 @@ def allowed_pairs(query: DataFrame, data: DataFrame, scorer: Scorer = lexical_en
     return pairs.select("instance", "u", "v", scorer(F.col("v_text"), F.col("u_text")).alias("score"))
 
 
+def soft_match(query_type: Column, u_text: Column, v_text: Column, u_ents: Column, v_ents: Column, v_poses: Column, label: Column, label_gates_entities: bool = False) -> Column:
+    """Struct (allowed, reason) of a pair by the soft rules: empty texts never;
+    a question word by what can answer it; two entities by a group that holds
+    both, and by the label too if ``label_gates_entities``; else by the label,
+    which must not be contradiction."""
+    ranged = lambda *names: vertex.shared(v_ents, F.array(*[F.lit(n) for e in names for n in next((g for g in vertex.ENT_GROUPS if e in g), (e,))]))
+    real = lambda ents: F.exists(ents, lambda e: e != vertex.NONE)
+    answered = (
+        F.when(query_type == "PERSON", ranged("PERSON"))
+        .when(query_type == "TIME", ranged("DATE", "TIME"))
+        .when(query_type == "LOCATION", ranged("GPE", "LOC"))
+        .when(query_type == "NUMBER", ranged("CARDINAL", "QUANTITY") | vertex.any_pos(v_poses, "NUM"))
+        .when(query_type == "BELONGS", ranged("PERSON", "ORG", "GPE"))
+        .when(query_type.isin("WHAT", "WHICH"), real(v_ents) | vertex.any_pos(v_poses, "NOUN", "PROPN", "PRON"))
+        .when(query_type == "ATTRIBUTE", vertex.any_pos(v_poses, "ADJ", "ADV"))
+        .when(query_type == "REASON", ~vertex.any_pos(v_poses, "PUNCT"))
+        .otherwise(F.lit(False))
+    )
+    meets = F.lit(False)
+    for group in vertex.ENT_GROUPS:
+        held = F.array(*map(F.lit, group))
+        meets = meets | (vertex.shared(u_ents, held) & vertex.shared(v_ents, held))
+    if label_gates_entities:
+        meets = meets & (label != "contradiction")
+    out = lambda ok, why: F.struct(F.coalesce(ok, F.lit(False)).alias("allowed"), F.lit(why).alias("reason"))
+    return (
+        F.when((F.trim(u_text) == "") | (F.trim(v_text) == ""), out(F.lit(False), "empty"))
+        .when(query_type.isNotNull(), out(answered, "query type"))
+        .when(real(u_ents) & real(v_ents), out(meets, "entities"))
+        .otherwise(out(label != "contradiction", "label"))
+    )
+
+
+def entailed_or_neutral(label: Column, same_domain: Column) -> Column:
+    """An entailed pair, or a neutral one of one domain."""
+    return (label == "entailment") | ((label == "neutral") & same_domain)
+
+
+def matched_vertices(query: DataFrame, data: DataFrame, scorer: Scorer = lexical_entailment, label: Scorer = lexical_label) -> DataFrame:
+    """(instance, u, v, score) of vertices (instance, vertex_id, text, ents,
+    virtual) that are entailed, or neutral and of one domain. Each pair of texts
+    is labelled once. Only the vertices of one instance meet."""
+    side = lambda df, n: df.where("not virtual").select("instance", F.col("vertex_id").alias(n), F.col("text").alias(f"{n}_text"), F.col("ents").alias(f"{n}_ents"))
+    pairs = side(query, "u").join(side(data, "v"), "instance")
+    texts = pairs.select("u_text", "v_text").distinct()
+    scored = texts.withColumns({"label": label(F.col("v_text"), F.col("u_text")), "score": scorer(F.col("v_text"), F.col("u_text"))})
+    met = pairs.join(scored, ["u_text", "v_text"]).where(entailed_or_neutral(F.col("label"), vertex.is_domain(F.col("u_ents"), F.col("v_ents"))))
+    return met.select("instance", "u", "v", "score")
+
+
+def simulation_quads(edge_vertices: DataFrame, relation: DataFrame) -> DataFrame:
+    """(instance, u, x, v, y): two vertices of one edge (the smaller first) and
+    a match of each."""
+    side = lambda n: edge_vertices.select("instance", "edge", F.col("vertex_id").alias(n))
+    pairs = side("u").join(side("x"), ["instance", "edge"]).where("u < x").select("instance", "u", "x").distinct()
+    return pairs.join(relation.select("instance", "u", "v"), ["instance", "u"]).join(relation.select("instance", F.col("u").alias("x"), F.col("v").alias("y")), ["instance", "x"])
+
+
+def migrate_types(vertices: DataFrame, known: DataFrame) -> DataFrame:
+    """``vertices`` (instance, text, type, …) with the type that ``known``
+    (instance, text, type, place) gives their lower-case text, the last place's."""
+    key = lambda c: F.lower(F.trim(c))
+    best = known.where("type is not null").groupBy("instance", key("text").alias("_key")).agg(F.max_by("type", "place").alias("_known"))
+    joined = vertices.withColumn("_key", key("text")).join(best, ["instance", "_key"], "left")
+    return joined.select(*[F.coalesce("_known", "type").alias(c) if c == "type" else F.col(c) for c in vertices.columns], F.when(F.col("_known").isNull(), "unchanged").when(F.col("type").isNull(), "filled").when(F.col("type") != F.col("_known"), "fixed").otherwise("unchanged").alias("change"))
+
+
 def top_b(pairs: DataFrame, b: int = 5, by: tuple[str, ...] = ("instance", "u")) -> DataFrame:
     """The ``b`` best pairs of each query vertex; ties to the smaller v."""
     order = Window.partitionBy(*by).orderBy(F.desc("score"), "v")
@@ -101,18 +168,22 @@ def dmatch_scores(rows: DataFrame, delta: float = 0.7) -> DataFrame:
 
 def greedy_one_to_one(scores: DataFrame) -> DataFrame:
     """Of (pair, u, v, score), best first (ties to the smaller u, v), those of
-    which neither end is taken yet. A pair's rows meet in one task."""
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, keep = set(), set(), []
-        for row in pdf.sort_values(["score", "u", "v"], ascending=[False, True, True]).itertuples():
-            if row.u not in left and row.v not in right:
-                left.add(row.u)
-                right.add(row.v)
-                keep.append(row.Index)
-        return pdf.loc[keep]
-
-    return scores.groupBy("pair").applyInPandas(choose, scores.schema)
+    which neither end is taken yet.
+
+    Rounds: rows that are best for both their ends are taken and their ends
+    leave. As score, u and v order all rows, that gives the same rows as one
+    pass from the top, and minima combine before the shuffle."""
+    keyed = scores.withColumn("_o", F.struct((-F.col("score")).alias("s"), "u", "v"))
+    now, taken = cut(keyed), None
+    while not now.isEmpty():
+        best = lambda end: now.groupBy("pair", end).agg(F.min("_o").alias(f"_{end}"))  # noqa: B023, E731
+        both = now.join(best("u"), ["pair", "u"]).join(best("v"), ["pair", "v"]).where((F.col("_o") == F.col("_u")) & (F.col("_o") == F.col("_v")))
+        found = cut(both.select(keyed.columns).dropDuplicates(["pair", "u", "v"]))
+        taken = found if taken is None else taken.unionByName(found)
+        for end in ("u", "v"):
+            now = now.join(found.select("pair", end), ["pair", end], "left_anti")
+        now = cut(now)
+    return (now if taken is None else taken).select(scores.columns)
 
 
 def cluster_pairs(query: DataFrame, data: DataFrame, sigma: float = 0.75) -> DataFrame:

@@ -83,3 +83,59 @@ def mean_graph_sizes(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     count = lambda df, c: df.groupBy("instance", "graph").agg(F.count(F.lit(1)).alias(c))
     each = count(vertices, "v").join(count(edges, "e"), ["instance", "graph"], "full").fillna(0)
     return each.groupBy("instance").agg(F.avg("v").alias("mean_vertices"), F.avg("e").alias("mean_edges"))
+
+
+def corpus_means(df: DataFrame, *columns: str) -> DataFrame:
+    """Means of 0-1 measures in percent; 0 for no rows."""
+    return df.agg(*[F.coalesce(100 * F.avg(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in columns])
+
+
+def run_summary(runs: DataFrame, name: str, seconds: str) -> DataFrame:
+    """Runs, total and mean seconds of each name."""
+    return runs.groupBy(name).agg(F.count(F.lit(1)).alias("runs"), F.sum(seconds).alias("total"), F.avg(seconds).alias("mean"))
+
+
+def over_limit(n: Column, limit: int = 4096) -> Column:
+    return n > limit
+
+
+def first_hit_counts(hits: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """(k, n): how many questions have their first hit at 1..k or before."""
+    first = questions.select("question").distinct().join(hits.groupBy("question").agg(F.min("rank").alias("first")), "question", "left")
+    places = first.where(F.col("first") <= k).groupBy(F.col("first").alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    every = df_range(hits, k).join(places, "k", "left").fillna(0, ["c"])
+    return every.select("k", F.sum("c").over(Window.orderBy("k")).alias("n"))
+
+
+def df_range(df: DataFrame, k: int) -> DataFrame:
+    """(k) from 1, a row each."""
+    return df.sparkSession.range(1, k + 1).select(F.col("id").cast("int").alias("k"))
+
+
+def mean_top(order: Column, k: int) -> Column:
+    """Of an array of gold ranks in model order: the share of the best ``k``
+    golds (ranks below k) among its first ``k``."""
+    return F.size(F.filter(F.slice(order, 1, k), lambda x: x < k)) / F.lit(float(k))
+
+
+def last_gold(order: Column, k: int) -> Column:
+    """How far down the array one must go to meet all of the best ``k`` golds."""
+    return F.array_max(F.transform(F.filter(F.transform(order, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: p["x"] < k), lambda p: p["i"])) + 1
+
+
+def preferred_order(slices: DataFrame, preferred: DataFrame) -> DataFrame:
+    """``slices`` (instance, slice, hits) with ``place``: most hits first, of
+    equals those in ``preferred`` (instance, slice), then the smaller slice."""
+    marked = slices.join(preferred.select("instance", "slice").distinct().withColumn("_p", F.lit(0)), ["instance", "slice"], "left")
+    order = Window.partitionBy("instance").orderBy(F.desc("hits"), F.coalesce("_p", F.lit(1)), "slice")
+    return marked.withColumn("place", F.row_number().over(order)).drop("_p")
+
+
+def suffix_number(name: Column) -> Column:
+    """The number at the end of a file's stem; names without one come last."""
+    return F.coalesce(F.regexp_extract(name, r"(\d+)(?:\.[^.]*)?$", 1).try_cast("bigint"), F.lit(10**9).cast("bigint"))
+
+
+def index_numbers(n: int, count: int) -> list[int]:
+    """``count`` places spread evenly over 0..n-1, from 0; all if there are fewer."""
+    return list(range(n)) if count >= n else [i * n // count for i in range(count)]

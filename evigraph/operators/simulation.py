@@ -7,25 +7,21 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import cut
 
-#: More rounds than any chain of removals that is expected.
-ROUNDS = 100
 
-
-def _until_stable(pairs: DataFrame, keep, rounds: int) -> DataFrame:
+def _until_stable(pairs: DataFrame, keep) -> DataFrame:
     """``keep(pairs)`` again and again, until it keeps all. Removal only
-    shrinks the relation, hence the end is the greatest fixpoint."""
+    shrinks the relation, hence this ends, at the greatest fixpoint."""
     now = cut(pairs)
     left = now.count()
-    for _ in range(rounds):
+    while True:
         now = cut(keep(now))
         n = now.count()
         if n == left:
             return now
         left = n
-    raise RuntimeError(f"simulation not settled after {rounds} rounds")
 
 
-def edge_simulation(allowed: DataFrame, query_edges: DataFrame, d_match: DataFrame, strict: bool = False, rounds: int = ROUNDS) -> DataFrame:
+def edge_simulation(allowed: DataFrame, query_edges: DataFrame, d_match: DataFrame, strict: bool = False) -> DataFrame:
     """The pairs (instance, u, v) of ``allowed`` that stay supported.
 
     ``query_edges`` is (instance, edge, u), ``d_match`` (instance, edge, sc, u,
@@ -52,13 +48,14 @@ def edge_simulation(allowed: DataFrame, query_edges: DataFrame, d_match: DataFra
             supported = full
         return r.join(supported.select("instance", "u", "v").distinct(), ["instance", "u", "v"], "left_semi")
 
-    return _until_stable(pairs, keep, rounds)
+    return _until_stable(pairs, keep)
 
 
-def bounded_reach(arcs: DataFrame, bound: int) -> DataFrame:
-    """(instance, v, w) joined by a non-empty path of at most ``bound`` arcs."""
+def bounded_reach(arcs: DataFrame, bound: int, starts: DataFrame | None = None) -> DataFrame:
+    """(instance, v, w) joined by a non-empty path of at most ``bound`` arcs,
+    from all v or from ``starts`` (instance, v) only."""
     arcs = arcs.select("instance", F.col("src").alias("v"), F.col("dst").alias("w")).distinct()
-    seen = frontier = cut(arcs)
+    seen = frontier = cut(arcs if starts is None else arcs.join(starts, ["instance", "v"], "left_semi"))
     for _ in range(bound - 1):
         step = frontier.select("instance", "v", F.col("w").alias("mid")).join(arcs.select("instance", F.col("v").alias("mid"), "w"), ["instance", "mid"]).select("instance", "v", "w").distinct()
         frontier = cut(step.join(seen, ["instance", "v", "w"], "left_anti"))
@@ -68,12 +65,14 @@ def bounded_reach(arcs: DataFrame, bound: int) -> DataFrame:
     return seen
 
 
-def bounded_simulation(allowed: DataFrame, query_arcs: DataFrame, data_arcs: DataFrame, bound: int = 5, rounds: int = ROUNDS) -> DataFrame:
+def bounded_simulation(allowed: DataFrame, query_arcs: DataFrame, data_arcs: DataFrame, bound: int = 5) -> DataFrame:
     """The greatest bounded simulation in ``allowed(instance, u, v)``: for each
     query arc u to x, v has a path of at most ``bound`` data arcs to some y
     with (x, y) in the relation. Bound 1 is plain simulation."""
     need = query_arcs.select("instance", F.col("src").alias("u"), F.col("dst").alias("x")).distinct()
-    reach = bounded_reach(data_arcs, bound)
+    ends = allowed.select("instance", "v").distinct()
+    # only paths between vertices that some pair holds can matter
+    reach = cut(bounded_reach(data_arcs, bound, ends).join(ends.withColumnRenamed("v", "w"), ["instance", "w"], "left_semi"))
 
     def keep(r: DataFrame) -> DataFrame:
         wanted = r.join(need, ["instance", "u"])
@@ -81,10 +80,10 @@ def bounded_simulation(allowed: DataFrame, query_arcs: DataFrame, data_arcs: Dat
         broken = wanted.join(met, ["instance", "v", "x"], "left_anti").select("instance", "u", "v").distinct()
         return r.join(broken, ["instance", "u", "v"], "left_anti")
 
-    return _until_stable(allowed.select("instance", "u", "v").distinct(), keep, rounds)
+    return _until_stable(allowed.select("instance", "u", "v").distinct(), keep)
 
 
-def prune_inconsistent(pairs: DataFrame, neighbours: DataFrame, support: DataFrame, require_all: bool = False, rounds: int = ROUNDS) -> DataFrame:
+def prune_inconsistent(pairs: DataFrame, neighbours: DataFrame, support: DataFrame, require_all: bool = False) -> DataFrame:
     """Deletes (u, v) while some neighbour x of u (instance, u, x) that still
     has matches has none that supports it (instance, u, x, v, y); with
     ``require_all`` a neighbour without any match deletes it as well."""
@@ -97,7 +96,7 @@ def prune_inconsistent(pairs: DataFrame, neighbours: DataFrame, support: DataFra
         broken = wanted.join(met, ["instance", "u", "v", "x"], "left_anti").select("instance", "u", "v").distinct()
         return r.join(broken, ["instance", "u", "v"], "left_anti")
 
-    return _until_stable(pairs.select("instance", "u", "v").distinct(), keep, rounds)
+    return _until_stable(pairs.select("instance", "u", "v").distinct(), keep)
 
 
 def documents_with_simulation(documents: DataFrame, pairs: DataFrame) -> DataFrame:

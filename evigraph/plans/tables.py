@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed to ``spark.checkpoint.dir``; a folder of our own
-    only where the session names none."""
+    only where the session names none and all runs on this machine."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evigraph-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="evigraph-"))
     return df.checkpoint(eager=True)
