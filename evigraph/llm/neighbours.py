@@ -8,14 +8,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import stored
+
 #: Codebooks, entries of each, and the beam of the encoder.
 BOOKS, ENTRIES, BEAM = 16, 256, 4
 #: Vectors that the codebooks are fitted on, at most.
 SAMPLE = 16_384
 #: Rows that are encoded and scored together, and the share that is reranked.
 BLOCK, RERANK = 4096, 0.08
+#: Queries that are scored together.
+TOGETHER = 32
 #: Queries that are sent to all executors together (8 bytes a component).
 QUERY_BLOCK = 16_384
 
@@ -66,7 +71,23 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
 
 def _valid(vectors: DataFrame, dimension: int) -> DataFrame:
     whole = F.col("embedding").isNotNull() & (F.size("embedding") == dimension) & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-    return vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull()).where(F.coalesce(whole, F.lit(False))).where(F.exists("embedding", lambda c: c != 0))
+    return vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull()).where(F.coalesce(whole, F.lit(False))).where(F.exists("embedding", lambda c: c != 0))
+
+
+def _encoded(valid: DataFrame, learnt) -> DataFrame:
+    """``valid`` with every row's code (one 16-bit entry for each codebook) and
+    the squared norm of what the code stands for."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                codes, norms = encode(_matrix(batch.column(1)), learnt.value)
+                code = pa.array([row.tobytes() for row in codes], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), code, pa.array(norms)], names=["vec_id", "embedding", "code", "norm"])
+
+    schema = T.StructType([T.StructField("vec_id", T.LongType()), valid.schema["embedding"], T.StructField("code", T.BinaryType()), T.StructField("norm", T.DoubleType())])
+    return valid.mapInArrow(of, schema)
 
 
 def search(vectors: DataFrame, divisor: int = 100, k: int = 10, rerank: float = RERANK, sample: int = SAMPLE) -> DataFrame:
@@ -75,15 +96,16 @@ def search(vectors: DataFrame, divisor: int = 100, k: int = 10, rerank: float =
     Queries are the rows whose vec_id is divisible by ``divisor``, against all
     other rows. Returns query_id, rank (from 1), vec_id and score, the Euclidean
     distance in double precision; ties go to the smaller vec_id. Every row is
-    encoded; codebooks are fitted on at most ``sample`` rows, those with the
+    encoded once, and written with its code and norm; codebooks are fitted on at most ``sample`` rows, those with the
     smallest hashes of vec_id. Rows are scored in blocks of ``BLOCK`` from
     look-up tables, the best ``rerank`` of a block (64 at least, and all that tie
     with the last) by the exact distance; of equal vectors only the smallest
     ids take places. So quality does not depend on the table's size. Queries go out
     ``QUERY_BLOCK`` at a time, each such block in a pass over the table. Vectors
     that are null, zero, of another length than most, or with null or
-    non-finite components take no part; rows that share a vec_id are rows of
-    their own, but none is a candidate of a query of that vec_id. No rows give no result.
+    non-finite components, or without a vec_id take no part; rows that share a
+    vec_id are rows of their own, but none is a candidate of a query of that
+    vec_id. No rows give no result. Other columns are not read.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -95,7 +117,8 @@ def search(vectors: DataFrame, divisor: int = 100, k: int = 10, rerank: float =
     if not picked.num_rows:
         return spark.createDataFrame([], schema)
     learnt = spark.sparkContext.broadcast(fit(_matrix(picked.column("embedding"))))
-    asked = valid.where(F.col("vec_id") % divisor == 0)
+    coded = stored(_encoded(valid, learnt), "vector_codes")
+    asked = coded.where(F.col("vec_id") % divisor == 0).select("vec_id", "embedding")
     blocks = -(-asked.count() // QUERY_BLOCK)
     if not blocks:
         return spark.createDataFrame([], schema)
@@ -104,7 +127,7 @@ def search(vectors: DataFrame, divisor: int = 100, k: int = 10, rerank: float =
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
         got = part.orderBy("vec_id").toArrow()
         if got.num_rows:
-            found = _scored(valid, learnt, spark.sparkContext.broadcast((got.column("vec_id").to_numpy(), _matrix(got.column("embedding")))), k, rerank)
+            found = _scored(coded, learnt, spark.sparkContext.broadcast((got.column("vec_id").to_numpy(), _matrix(got.column("embedding")))), k, rerank)
             out = found if out is None else out.union(found)
     order = Window.partitionBy("query_id", "query_row").orderBy("score", "vec_id")
     ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -113,7 +136,7 @@ def search(vectors: DataFrame, divisor: int = 100, k: int = 10, rerank: float =
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy().reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def _first_copies(ids: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
@@ -130,41 +153,43 @@ def _first_copies(ids: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
     return order[(of_vector <= k) & (of_id < k)]
 
 
-def _scored(valid: DataFrame, learnt, asked, k: int, rerank: float) -> DataFrame:
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ids, rows, held = [], [], 0
+def _scored(coded: DataFrame, learnt, asked, k: int, rerank: float) -> DataFrame:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        parts, held = [], 0
         for batch in batches:
             if batch.num_rows:
-                ids.append(batch.column(0).to_numpy())
-                rows.append(_matrix(batch.column(1)))
+                codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+                parts.append((batch.column(0).to_numpy(), _matrix(batch.column(1)), codes, batch.column(3).to_numpy()))
                 held += batch.num_rows
             if held >= BLOCK:
-                yield np.concatenate(ids), np.concatenate(rows)
-                ids, rows, held = [], [], 0
+                yield tuple(map(np.concatenate, zip(*parts, strict=True)))
+                parts, held = [], 0
         if held:
-            yield np.concatenate(ids), np.concatenate(rows)
+            yield tuple(map(np.concatenate, zip(*parts, strict=True)))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books, (query_ids, queries) = learnt.value, asked.value
         best_id = np.full((len(query_ids), 0), -1)
         best = np.zeros((len(query_ids), 0))
-        for ids, rows in blocks(batches):
+        for ids, rows, codes, norms in blocks(batches):
             short = max(64, k + 1, int(rerank * len(ids)))
             some = _first_copies(ids, rows, k)
-            ids, rows, short = ids[some], rows[some], min(len(some), short)
-            codes, norms = encode(rows, books)
+            ids, rows, codes, norms, short = ids[some], rows[some], codes[some], norms[some], min(len(some), short)
             new_id, new = np.full((len(queries), k), -1), np.full((len(queries), k), np.inf)
-            for q, query in enumerate(queries):
-                tables = books @ query
-                score = norms.copy()
+            for at in range(0, len(queries), TOGETHER):
+                some = queries[at : at + TOGETHER]
+                score = np.tile(norms, (len(some), 1))
                 for m in range(len(books)):
-                    score -= 2 * tables[m][codes[:, m]]
+                    # a query's table: its inner product with each entry of the book
+                    score -= (2 * some @ books[m].T)[:, codes[:, m]]
                 # rows that tie with the last place are all in
-                near = np.flatnonzero(score <= np.partition(score, short - 1)[short - 1])
-                exact = np.sqrt(((rows[near] - query) ** 2).sum(axis=1))
-                exact[ids[near] == query_ids[q]] = np.inf
-                order = np.lexsort((ids[near], exact))[:k]
-                new_id[q, : len(order)], new[q, : len(order)] = ids[near][order], exact[order]
+                last = np.partition(score, short - 1, axis=1)[:, short - 1]
+                for q, (own, limit) in enumerate(zip(score, last, strict=True), at):
+                    near = np.flatnonzero(own <= limit)
+                    exact = np.sqrt(((rows[near] - queries[q]) ** 2).sum(axis=1))
+                    exact[ids[near] == query_ids[q]] = np.inf
+                    order = np.lexsort((ids[near], exact))[:k]
+                    new_id[q, : len(order)], new[q, : len(order)] = ids[near][order], exact[order]
             best_id, best = np.concatenate([best_id, new_id], axis=1), np.concatenate([best, new], axis=1)
             order = np.lexsort((best_id, best), axis=1)[:, :k]
             best_id, best = np.take_along_axis(best_id, order, axis=1), np.take_along_axis(best, order, axis=1)
@@ -173,4 +198,4 @@ def _scored(valid: DataFrame, learnt, asked, k: int, rerank: float) -> DataFrame
             row = np.repeat(np.arange(len(query_ids)), best.shape[1])[real]
             yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(row.astype(np.int64)), pa.array(best_id.ravel()[real]), pa.array(best.ravel()[real])], names=["query_id", "query_row", "vec_id", "score"])
 
-    return valid.mapInArrow(find, "query_id long, query_row long, vec_id long, score double")
+    return coded.select("vec_id", "embedding", "code", "norm").mapInArrow(find, "query_id long, query_row long, vec_id long, score double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame
 
 from .tokens import encoder
 
-POOL = 512
+#: Remainders that are packed together, and the size at which halving ends.
+POOL, FINEST = 512, 8
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -61,39 +63,47 @@ def difference(sizes: list[int], ways: int) -> list[list[int]]:
     return groups
 
 
+def halves(size: int, least: int = FINEST) -> list[int]:
+    """``size`` cut in half, one half again, and so on down to ``least``."""
+    out = []
+    while size > 2 * least:
+        out.append(size - size // 2)
+        size //= 2
+    return [*out, size]
+
+
 def pack_pool(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
     """Windows of (piece, from, length) with at most ``capacity`` each.
 
-    The window count is the least that the total needs, and rises by one while
-    differencing exceeds the capacity, up to one in fifty more. What still
-    overhangs is cut off and goes to windows with room, heaviest overhang
-    first; so nothing is lost and padding stays bounded.
+    The window count begins at the least that the total needs and rises by one
+    while differencing exceeds the capacity, so it ends when each size has a
+    window of its own at the latest. Differencing balances with small sizes
+    what large ones leave uneven; as many of the largest sizes as there are
+    windows are therefore cut in halves first. Cuts of one size that meet in a
+    window again are joined.
     """
     least = max(1, -(-sum(sizes) // capacity))
-    for ways in range(least, least + least // 50 + 1):
-        groups = difference(sizes, ways)
-        if max(sum(sizes[i] for i in g) for g in groups) <= capacity:
-            return [[(i, 0, sizes[i]) for i in g] for g in groups if g]
-    windows: list[list[tuple[int, int, int]]] = []
-    over: list[tuple[int, int, int]] = []
-    for g in groups:
-        window, used = [], 0
-        for i in sorted(g, key=lambda i: sizes[i]):
-            fits = min(sizes[i], capacity - used)
-            if fits:
-                window.append((i, 0, fits))
-            if fits < sizes[i]:
-                over.append((i, fits, sizes[i] - fits))
-            used += fits
-        windows.append(window)
-    for i, at, length in sorted(over, key=lambda x: -x[2]):
-        while length:
-            room = [capacity - sum(p[2] for p in w) for w in windows]
-            best = max(range(len(windows)), key=room.__getitem__)
-            fits = min(length, room[best])
-            windows[best].append((i, at, fits))
-            at, length = at + fits, length - fits
-    return [w for w in windows if w]
+    parts: list[tuple[int, int, int]] = []
+    for rank, i in enumerate(sorted(range(len(sizes)), key=lambda i: -sizes[i])):
+        at = 0
+        for length in halves(sizes[i]) if rank < least and least > 1 else [sizes[i]]:
+            parts.append((i, at, length))
+            at += length
+    for ways in itertools.count(least):
+        groups = difference([p[2] for p in parts], ways)
+        if all(sum(parts[g][2] for g in group) <= capacity for group in groups):
+            break
+    windows = []
+    for group in groups:
+        window: list[tuple[int, int, int]] = []
+        for i, at, length in sorted(parts[g] for g in group):
+            if window and window[-1][0] == i and window[-1][1] + window[-1][2] == at:
+                window[-1] = (i, window[-1][1], window[-1][2] + length)
+            else:
+                window.append((i, at, length))
+        if window:
+            windows.append(window)
+    return windows
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, pool: int = POOL, spaces: bool = False) -> DataFrame:
@@ -102,8 +112,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
     A document's full multiples of ``capacity`` are sequences of their own; the
     remainders of ``pool`` documents at a time are packed by differencing.
     Pieces are packed where the table is read: no shuffle, and a task holds one
-    pool. Null and empty texts are the end id alone; repeated rows are packed
-    each for itself; an empty table gives no rows. ``sequence_id`` is unique,
+    pool and one text. Null and empty texts are the end id alone; repeated rows
+    are packed each for itself, and null doc_ids like any other; an empty table
+    gives no rows. A text of any length is cut like the others; other columns are
+    not read. ``sequence_id`` is unique,
     made of the task's number and a count, with gaps.
     """
 

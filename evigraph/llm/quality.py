@@ -86,7 +86,8 @@ def quality_rules(docs: DataFrame, max_lost: float = MAX_LOST, carry: str | None
     ``kept`` is false if base_failed, or if more than ``max_lost`` is lost.
     Null and empty texts have no words, hence fail. One pass over the table,
     without a shuffle; each row is judged alone, so repeated rows and ties give
-    repeated rows, and other columns are not read.
+    repeated rows, texts of any length are judged whole, an empty table gives no
+    rows, and other columns are not read.
     """
     text, kept = F.coalesce("text", F.lit("")), [F.col(carry).alias("_carried")] if carry else []
     counted = docs.select("doc_id", text.alias("text"), *kept).withColumn("words", words_of(F.col("text")))

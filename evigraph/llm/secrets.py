@@ -22,9 +22,9 @@ WINDOW = 20
 CLASSES = (("0123456789abcdefABCDEF", 3.0), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.6))
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Candidates that are no secrets. Words and names in one case or
-#: capitalised, paths of such words, numbers, rules of one repeated character,
-#: and placeholders.
-ALLOWED = (r"^[-_/+=]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/+=]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[-_/+=]*$", r"^(.)\1+$")
+#: capitalised, of up to 24 letters, paths of such words, numbers, and rules of
+#: one repeated character. A longer run of letters is judged by its entropy.
+ALLOWED = (r"^[-_/+=]*(?:[A-Z]?[a-z]{1,24}|[A-Z]{1,24}|[0-9]+)(?:[-_/+=]+(?:[A-Z]?[a-z]{1,24}|[A-Z]{1,24}|[0-9]+))*[-_/+=]*$", r"^(.)\1+$")
 #: Placeholders, with up to a window of the letters and digits around them.
 PLACEHOLDER = r"[A-Za-z0-9]{0,20}(?i:example|placeholder|dummy|changeme|your[-_]?|x{6,}|0{8,}|1234567)[A-Za-z0-9]{0,20}"
 
@@ -113,8 +113,11 @@ def find_secrets(docs: DataFrame, carry: str | None = None) -> DataFrame:
     Returns doc_id, text and spans, an array of (kind, start, end) by start and
     kind, where kind indexes ``KINDS``. Kinds are searched one by one, so spans
     of different kinds may overlap; entropy is searched in what base spans and
-    placeholders leave of a run. Null and empty texts have none. Each row is scanned alone and
-    whole, without a shuffle. A column named by ``carry`` is returned too.
+    placeholders leave of a run. Null and empty texts have none. Each row is
+    scanned alone and whole, without a shuffle, so repeated rows give repeated
+    results, ids may tie or be null, a text of any length is searched to its end,
+    and an empty table gives no rows. Other columns are not read; the one named
+    by ``carry`` is returned too.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *([F.col(carry).alias("_carried")] if carry else []))
     rows = rows.withColumn("base", F.concat(spans_of(F.col("text"), ASSIGN, 0, ASSIGN_LENGTH), spans_of(F.col("text"), ACCESS, 1), spans_of(F.col("text"), HEX, 2)))

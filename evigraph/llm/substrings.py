@@ -86,7 +86,8 @@ def dedup_substrings(docs: DataFrame, window: int = 35) -> DataFrame:
     document; it goes if its words also start anywhere else, the same document
     included, judged on the input. Null and empty texts have no words and keep
     ""; a repeated row counts as a repetition; documents shorter than a window
-    stay whole. Windows are told apart by a 64-bit hash: for n windows about
+    stay whole. A text of any length is taken whole; an empty table gives no
+    rows; other columns are not read. Windows are told apart by a 64-bit hash: for n windows about
     n * n / 2**65 pairs of different windows are expected to be taken as equal.
     """
     rows = docs.count()

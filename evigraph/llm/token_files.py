@@ -136,8 +136,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, segment_ids:
     ``part`` hold smaller doc_ids than those of ``part + 1``, and
     ``part_start`` counts the ids before a segment in its part. Null and empty
     texts have the end id alone; a null doc_id sorts first; rows that share a
-    doc_id stand next to each other, by text. An empty table gives no
-    segments. Only the two columns are read, whatever else the table holds.
+    doc_id stand next to each other, by text. A text of any length is one entry of one
+    segment. An empty table gives no segments. Only the two columns are read, whatever else the table holds.
     """
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,9 +35,10 @@ class PartEncoder:
 
     ``path`` names a tokenizers file with byte-level letters; ``spaces`` tells
     if white space yields ids (byte-level) or is dropped and letters lowered
-    (word-level). Special tokens' strings in a text are ordinary text. At most
-    about ``keep`` parts are remembered. Texts with characters outside Latin
-    script go to the library whole. Null and "" have no ids.
+    (word-level). At most about ``keep`` parts are remembered. Texts with
+    characters outside Latin script go to the library whole, and so do those
+    that hold the string of an added token, which is then one id as the library
+    has it. Null and "" have no ids.
     """
 
     def __init__(self, path: str, spaces: bool, keep: int = 500_000):
@@ -45,7 +46,7 @@ class PartEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.merges = self.library.model
         self.find = (_BYTE_LEVEL if spaces else _WORD_LEVEL).findall
         self.lower = not spaces
@@ -62,7 +63,7 @@ class PartEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not _PLAIN.fullmatch(text):
+        if not _PLAIN.fullmatch(text) or any(a in text for a in self.added):
             return self.whole(text)
         parts = self.find(text.lower() if self.lower else text)
         known = self.known

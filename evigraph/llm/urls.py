@@ -58,8 +58,9 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = (*LISTED, *UNWANTED),
     run their pattern. Of listed rules that fit, the longest decides (ties: the
     smaller name) and is ``rule``; else any other rule that blocks; else
     ``default``. A rule without literals is refused. Null urls have empty host
-    and path and the default. Repeated rows are judged each; hosts may repeat
-    without bound, since rows meet by page_id and url only.
+    and path and the default; urls of any length are taken whole. Repeated rows
+    are judged each; hosts may repeat without bound, since rows meet by page_id
+    and url only. An empty table gives no rows; other columns are not read.
     """
     spark: SparkSession = pages.sparkSession
     if bare := [r.pattern for r in rules if not r.literals]:

@@ -57,3 +57,30 @@ def test_entropy_finds_random_strings_and_allows_names(spark):
     got = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(texts, "doc_id long, text string")).select("doc_id", secrets.listed(F.col("spans")).alias("s"), secrets.redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
     assert [got[i].s for i in range(1, 6)] == ["entropy:2:30", "", "", "", "assign:0:34"]
     assert got[1].t == "x [SECRET] y" and got[5].t == "[SECRET]"
+
+
+def test_recall_of_planted_keys(spark, sf_dir):
+    """Random keys of five kinds in running text: at least 95 % of each kind are
+    covered by a span, and the texts without them have no entropy span."""
+    rng = random.Random(14)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {"base64": (lower + upper + digits + "+/", 40), "url": (lower + upper + digits + "-_", 32), "lower": (lower, 40), "upper": (upper + digits, 32), "hex": ("0123456789ABCDEF", 40)}
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect() if r.text]
+    rows, keys = [], []
+    for kind, (letters, n) in kinds.items():
+        for _ in range(100):
+            words = rng.choice(texts).split(" ")[:60]
+            key = "".join(rng.choice(letters) for _ in range(n))
+            words.insert(rng.randrange(len(words) + 1), key)
+            rows.append((len(rows), " ".join(words)))
+            keys.append((kind, key))
+    got = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    found = Counter()
+    for i, (kind, key) in enumerate(keys):
+        at = rows[i][1].index(key)
+        covered = {p for s in got[i].spans for p in range(s["start"], s["end"])}
+        found[kind] += set(range(at, at + len(key))) <= covered
+    print(dict(found))
+    assert all(found[k] >= 95 for k in kinds)
+    plain = secrets.secrets_digest(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert plain.where("spans like '%entropy%'").count() == 0

@@ -9,14 +9,13 @@ from evigraph.llm.queries import vocabulary
 from evigraph.llm.tokens import PartEncoder
 
 SCHEMA = "doc_id long, text string, note string"
-ODD = [(3, None, "x"), (1, "", None), (2, "a b", "y"), (2, "a b", "y"), (None, "Ünïcode 漢字 ́ x", ""), (9, "w" * 5000, ""), (7, " \n\t ", ""), (8, "one two three " * 3000, "")]
+ODD = [(3, None, "x"), (1, "", None), (2, "a b", "y"), (2, "a b", "y"), (None, "Ünïcode 漢字 ́ x", ""), (9, "w" * 5000, ""), (7, " \n\t ", ""), (8, "one two three " * 3000, ""), (10, "a <|endoftext|> b<|startoftext|>", ""), (11, "<|endoftext|>", "")]
 
 
 def library_ids(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -95,3 +94,19 @@ def test_differencing_balances():
     assert max(sums) - min(sums) <= 2
     assert packing.difference([5], 3) == [[0], [], []]
     assert packing.difference([], 2) == [[], []]
+
+
+def test_window_count_rises_until_differencing_fits():
+    rng = random.Random(8)
+    for sizes in ([100] * 7, [60] * 9, [1], [rng.randint(1, 99) for _ in range(150)], [99] * 50 + [1] * 3):
+        windows = packing.pack_pool(sizes, 100)
+        assert all(sum(p[2] for p in w) <= 100 for w in windows)
+        cuts = sorted(p for w in windows for p in w)
+        for i, size in enumerate(sizes):
+            at = 0
+            for _, start, length in (c for c in cuts if c[0] == i):
+                assert start == at
+                at += length
+            assert at == size
+    sizes = [rng.randint(1, 2047) for _ in range(512)]
+    assert sum(sizes) / (2048 * len(packing.pack_pool(sizes, 2048))) > 0.99
