@@ -44,15 +44,21 @@ def split_chunks(docs: DataFrame, body: str, chunks: int, out: str = "chunks") -
     """Adds ``out``: the text cut in two or three at the sentence ends nearest
     to equal parts, the earlier of equals; joined again they give the text. A
     text without inner ends stays whole."""
-    ends = F.transform(F.regexp_extract_all(body, F.lit(r"(?s).*?[.!?](?=\s|$)"), F.lit(0)), F.length)
-    start = F.array().cast("array<int>")
-    placed = F.aggregate(ends, start, lambda a, n: F.concat(a, F.array(n + F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)))))
-    held = docs.select(F.struct(*docs.columns).alias("row"), F.col(body).alias("body"), placed.alias("ends"))
+    sizes = F.transform(F.regexp_extract_all(body, F.lit(r"(?s).*?[.!?](?=\s|$)"), F.lit(0)), F.length)
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.col(body).alias("body"), sizes.alias("sizes"))
 
     def nearest(part: int, after: str | None):
-        target = F.length("body") * part / chunks
-        usable = F.filter("ends", lambda p: (p < F.length("body")) & (p > (F.col(after) if after else F.lit(0))))
-        return F.array_min(F.transform(usable, lambda p: F.struct(F.abs(p - target).alias("d"), p.alias("p"))))["p"]
+        """One pass over the sentences: where each ends, and the best so far."""
+        target, n = F.length("body") * part / chunks, F.length("body")
+        start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("best"), F.lit(None).cast("double").alias("gap"))
+
+        def step(state: Column, size: Column) -> Column:
+            at = state["at"] + size
+            gap = F.abs(at - target)
+            better = (at < n) & (at > (F.col(after) if after else F.lit(0))) & (state["gap"].isNull() | (gap < state["gap"]))
+            return F.struct(at.alias("at"), F.when(better, at).otherwise(state["best"]).alias("best"), F.when(better, gap).otherwise(state["gap"]).alias("gap"))
+
+        return F.aggregate("sizes", start, step, lambda s: s["best"])
 
     held = held.withColumn("one", nearest(1, None))
     held = held.withColumn("two", nearest(2, "one") if chunks >= 3 else F.lit(None).cast("int"))

@@ -42,8 +42,10 @@ def merge_graphs(vertices: DataFrame, edge_vertices: DataFrame, links: DataFrame
 
 def evidence_stats(evidence: DataFrame, matches: DataFrame) -> DataFrame:
     """Matches and mean confidence (0.0 without any) of each evidence, with a
-    band: high from .8, medium from .5, else low."""
-    got = matches.groupBy("evidence").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean"))
+    band: high from .8, medium from .5, else low. Confidences are summed as
+    decimals of ten places, so the mean does not depend on their order."""
+    total = F.sum(F.col("confidence").cast("decimal(20,10)")).cast("double")
+    got = matches.groupBy("evidence").agg(F.count("confidence").alias("n"), (total / F.count("confidence")).alias("mean"))
     out = evidence.select("evidence").distinct().join(got, "evidence", "left").fillna(0, ["n"]).fillna(0.0, ["mean"])
     return out.withColumn("band", F.when(F.col("mean") >= 0.8, "high").when(F.col("mean") >= 0.5, "medium").otherwise("low"))
 
@@ -73,8 +75,10 @@ def supporting_span(needle: Column, evidence: Column, around: int = 50, longest:
 def structured_context(matches: DataFrame) -> DataFrame:
     """One report text for each instance from (instance, evidence, query_text,
     answer, confidence), best evidence and match first."""
-    line = F.format_string("- %s: %s (%.2f)", "query_text", "answer", "confidence")
-    each = matches.groupBy("instance", "evidence").agg(F.avg("confidence").alias("mean"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("o"), line.alias("l")))).alias("lines"))
-    block = F.concat(F.format_string("[%s] mean %.2f, %d matches\n", F.col("evidence").cast("string"), "mean", "n"), F.array_join(F.transform("lines", lambda x: x["l"]), "\n"))
+    two = lambda c: F.round(c.cast("decimal(20,10)"), 2).cast("decimal(12,2)").cast("string")
+    line = F.concat(F.lit("- "), "query_text", F.lit(": "), "answer", F.lit(" ("), two(F.col("confidence")), F.lit(")"))
+    mean = F.sum(F.col("confidence").cast("decimal(20,10)")).cast("double") / F.count("confidence")
+    each = matches.groupBy("instance", "evidence").agg(mean.alias("mean"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("o"), line.alias("l")))).alias("lines"))
+    block = F.concat(F.lit("["), F.col("evidence").cast("string"), F.lit("] mean "), two(F.col("mean")), F.lit(", "), F.col("n").cast("string"), F.lit(" matches\n"), F.array_join(F.transform("lines", lambda x: x["l"]), "\n"))
     order = F.sort_array(F.collect_list(F.struct((-F.col("mean")).alias("m"), (-F.col("n")).alias("n"), "evidence", block.alias("b"))))
     return each.groupBy("instance").agg(order.alias("blocks")).select("instance", F.array_join(F.transform("blocks", lambda x: x["b"]), "\n").alias("context"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import token_queries
+from . import token_queries, vertex_queries
 from .functions import text, vector, vertex
 from .operators import build, fusion, graph, match, metrics, retrieval, simulation
 from .plans import methods
@@ -214,7 +214,7 @@ def evidence_stats(s, d):
     events = _t(s, d, "events", "user_id", "event_type", "value")
     matches = events.where("event_type <> 'view'").select(F.col("user_id").alias("evidence"), F.least(F.lit(1.0), F.col("value") / 20).alias("confidence"))
     out = fusion.evidence_stats(events.select(F.col("user_id").alias("evidence")), matches)
-    return out.select("evidence", "n", F.round("mean", 6).alias("mean"), "band")
+    return out.select("evidence", "n", F.round("mean", 12).alias("mean"), "band")
 
 
 def evidence_conflicts(s, d):
@@ -281,6 +281,18 @@ def bounded_simulation(s, d):
     return match.rank_slices(slices, slices, 5).select("slice", "hits", F.col("rank").cast("int").alias("rank"))
 
 
+def bounded_two_hops(s, d):
+    """Query: a BUILDING customer within two arcs of a PROMO part."""
+    c, o = _t(s, d, "customer", "c_custkey", "c_mktsegment"), _t(s, d, "orders", "o_orderkey", "o_custkey")
+    line, p = _t(s, d, "lineitem", "l_orderkey", "l_partkey"), _t(s, d, "part", "p_partkey", "p_type")
+    one = lambda df, key, u, cond, tag: df.where(cond).select(F.lit(0).alias("instance"), F.lit(u).alias("u"), F.concat(F.lit(tag), key).alias("v"))
+    arc = lambda df, a, b, ta, tb: df.select(F.lit(0).alias("instance"), F.concat(F.lit(ta), a).alias("src"), F.concat(F.lit(tb), b).alias("dst"))
+    allowed = one(c, "c_custkey", 0, "c_mktsegment = 'BUILDING'", "c").unionByName(one(p, "p_partkey", 1, "p_type = 'PROMO'", "p"))
+    arcs = arc(o, "o_custkey", "o_orderkey", "c", "o").unionByName(arc(line, "l_orderkey", "l_partkey", "o", "p"))
+    query = s.createDataFrame([(0, 0, 1)], "instance int, src int, dst int")
+    return simulation.bounded_simulation(allowed, query, arcs, bound=2).select("u", "v")
+
+
 def edge_simulation(s, d):
     """Order lines as query edges: u is a supplier, v a part; matches are lines
     with a discount; a pair stays if all suppliers of some order are matched."""
@@ -302,7 +314,7 @@ def _instances(s, d):
 
 def _method(name):
     def query(s, d):
-        return methods.apply_method(name, _instances(s, d))
+        return methods.apply_method(name, _instances(s, d)).select("instance", "doc", F.md5("query").alias("query"), F.md5("text").alias("text"))
 
     query.__name__ = f"method_{name}"
     return query
@@ -314,9 +326,9 @@ QUERIES = {f.__name__: f for f in (
     vertex_provenance_slices, shortest_hyperpaths, h_hop_neighbors, transitive_closure, lca_pairs, merge_components, merge_graphs,
     dmatch_aggregate, greedy_one_to_one, cosine_threshold_pairs, hoyer_score, knn_exact, knn_cells, context_trim_antijoin,
     evidence_stats, evidence_conflicts, evidence_coverage, structured_context, supporting_span, chunk_split, record_parse,
-    resume_skip, sampling_weights, weighted_mean, tie_adjusted_rank, bounded_simulation, edge_simulation, rule_graph,
+    resume_skip, sampling_weights, weighted_mean, tie_adjusted_rank, bounded_simulation, bounded_two_hops, edge_simulation, rule_graph,
     *map(_method, methods.METHODS),
-)} | token_queries.QUERIES
+)} | token_queries.QUERIES | vertex_queries.QUERIES
 
 _TREE = "tree AS (SELECT (n_nationkey + 100)::BIGINT AS node, n_regionkey::BIGINT AS parent FROM nation UNION ALL SELECT c_custkey + 1000, (c_nationkey + 100)::BIGINT FROM customer)"
 _NEXT = "n AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
@@ -346,7 +358,7 @@ ORACLE_SQL = {
     "hoyer_score": f"WITH {_NEXT}, g AS (SELECT vec_id, list_transform(list_zip(x, y), lambda p: p[1] - p[2]) AS g FROM n) SELECT vec_id, round((sqrt(len(g)) - list_sum(list_transform(g, lambda e: abs(e))) / sqrt(list_sum(list_transform(g, lambda e: e * e)))) / (sqrt(len(g)) - 1), 5) AS hoyer FROM g",
     "knn_exact": "SELECT query_id, rank::INT AS rank, vec_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)) WHERE rank <= 5",
     "context_trim_antijoin": "WITH c AS (SELECT o_custkey AS question, o_orderkey AS ctx, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS nth FROM orders) SELECT question, ctx FROM c WHERE rank <= 30 AND nth = 1",
-    "evidence_stats": "SELECT user_id AS evidence, count(*) FILTER (event_type <> 'view') AS n, round(coalesce(avg(least(1.0, value / 20)) FILTER (event_type <> 'view'), 0), 6) AS mean, CASE WHEN avg(least(1.0, value / 20)) FILTER (event_type <> 'view') >= 0.8 THEN 'high' WHEN avg(least(1.0, value / 20)) FILTER (event_type <> 'view') >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM events GROUP BY 1",
+    "evidence_stats": "WITH c AS (SELECT user_id AS evidence, count(*) FILTER (event_type <> 'view') AS n, sum(least(1.0::DOUBLE, value / 20)::DECIMAL(20,10)) FILTER (event_type <> 'view')::DOUBLE AS s FROM events GROUP BY 1) SELECT evidence, n, round(coalesce(s / nullif(n, 0), 0), 12) AS mean, CASE WHEN s / nullif(n, 0) >= 0.8 THEN 'high' WHEN s / nullif(n, 0) >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM c",
     "evidence_conflicts": "SELECT user_id AS query_text, count(*) AS n, count(DISTINCT event_type) FILTER (value / 20 >= 0.5) AS answers FROM events GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT event_type) FILTER (value / 20 >= 0.5) >= 2",
     "evidence_coverage": "WITH c AS (SELECT o_custkey AS instance, o_orderpriority AS c, bool_or(o_orderstatus = 'F') AS hit FROM orders GROUP BY 1, 2) SELECT instance, count(*) FILTER (hit) AS covered, count(*) AS total, coalesce(string_agg(c, ',' ORDER BY c) FILTER (NOT hit), '') AS missing FROM c GROUP BY 1",
     "record_parse": "SELECT DISTINCT user_id::VARCHAR AS src, event_type AS dst, 'did' AS type, 'at a time' AS desc FROM events",
@@ -354,5 +366,53 @@ ORACLE_SQL = {
     "sampling_weights": "WITH c AS (SELECT source, sqrt(count(*)) AS w FROM documents GROUP BY 1) SELECT source, round(w / sum(w) OVER (), 9) AS weight FROM c",
     "weighted_mean": "SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 9) AS mean FROM lineitem WHERE l_quantity > 0 GROUP BY 1",
     "tie_adjusted_rank": "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus DESC, o_orderkey)::INT AS place, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus DESC)::INT AS tie_rank FROM orders",
+    "bounded_two_hops": "SELECT DISTINCT 0 AS u, 'c' || c_custkey AS v FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE c_mktsegment = 'BUILDING' AND p_type = 'PROMO' UNION ALL SELECT 1, 'p' || p_partkey FROM part WHERE p_type = 'PROMO'",
     "bounded_simulation": "WITH po AS (SELECT DISTINCT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderpriority = '1-URGENT' AND p_type = 'PROMO'), h AS (SELECT c_nationkey AS slice, count(*) AS hits FROM customer JOIN po ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1) SELECT slice, hits, rank::INT AS rank FROM (SELECT *, rank() OVER (ORDER BY hits DESC) AS rank FROM h) WHERE rank <= 5",
-} | token_queries.ORACLE_SQL
+} | token_queries.ORACLE_SQL | vertex_queries.ORACLE_SQL
+
+_WORD = r"\p{L}\p{N}\p{M}_"
+_ARTICLE = rf"([^{_WORD}]|^)(a|an|the)([^{_WORD}]|$)"
+_NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace(translate(lower({x}), '!\"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', ''), '{a}', '\1 \3', 'g'), '{a}', '\1 \3', 'g'), '\s+', ' ', 'g'))"
+
+
+def _normal(x: str) -> str:
+    return _NORMAL.replace("{x}", x).replace("{a}", _ARTICLE).replace("{{", "{").replace("}}", "}")
+
+
+_TURNS = "t AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations), i AS (SELECT * FROM t WHERE before IS NOT NULL)"
+_TOKENS = r"list_distinct(regexp_extract_all(lower({x}), '[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]'))"
+
+
+def _score(premise: str, hypothesis: str) -> str:
+    p, h = _TOKENS.replace("{x}", premise), _TOKENS.replace("{x}", hypothesis)
+    return f"(CASE WHEN len({h}) = 0 THEN 0 ELSE len(list_intersect({p}, {h})) / len({h}) END)"
+
+
+def _label(premise: str, hypothesis: str) -> str:
+    s = _score(premise, hypothesis)
+    return f"(CASE WHEN {s} >= 0.99 THEN 'entailment' WHEN {s} >= 0.2 THEN 'neutral' ELSE 'contradiction' END)"
+
+
+_BARE = r"trim(replace(replace(text, '</s>', ''), '</think>', ''), E' \t\n\r\f\x0b')"
+_EDGE = """ .,;:!?"''"""
+
+ORACLE_SQL |= {
+    "normalize_answer": f"SELECT doc_id, md5({_normal('text')}) AS normalised FROM documents",
+    "em_f1_match": f"WITH {_TURNS}, n AS (SELECT *, {_normal('text')} AS p, {_normal('before')} AS g FROM i), w AS (SELECT *, list_filter(string_split(p, ' '), lambda x: x <> '') AS pw, list_filter(string_split(g, ' '), lambda x: x <> '') AS gw FROM n), "
+    "c AS (SELECT *, coalesce(list_sum(list_transform(list_intersect(list_distinct(pw), list_distinct(gw)), lambda t: least(len(list_filter(pw, lambda x: x = t)), len(list_filter(gw, lambda x: x = t))))), 0)::BIGINT AS same FROM w) "
+    "SELECT conv_id, turn, p = g AS em, CASE WHEN same = 0 THEN 0::DOUBLE ELSE round(2 * (same / len(pw)) * (same / len(gw)) / (same / len(pw) + same / len(gw)), 6) END AS f1, (length(before) > 2 AND contains(lower(text), lower(before)))::INT AS matched FROM c",
+    "postprocess_answer": f"WITH b AS (SELECT conv_id, turn, coalesce(text, '') AS text, {_BARE} AS bare FROM conversations), l AS (SELECT *, list_filter(list_transform(string_split(bare, chr(10)), lambda x: trim(x, E' \\t\\r\\f\\x0b')), lambda x: x <> '' AND length(x) < 100 AND NOT regexp_matches(lower(x), 'step|reason|explain|note|context|paragraph|think|analysis|conclusion') AND NOT starts_with(x, '#') AND trim(x, '{_EDGE}') <> '') AS lines FROM b) "
+    f"SELECT conv_id, turn, CASE WHEN text = '' THEN 'unanswerable' WHEN len(lines) > 0 THEN trim(lines[-1], '{_EDGE}') WHEN substr(trim(bare, '{_EDGE}'), 1, 200) = '' THEN 'unanswerable' ELSE substr(trim(bare, '{_EDGE}'), 1, 200) END AS answer, CASE WHEN text = '' THEN 'empty_input' WHEN len(lines) > 0 THEN 'parsed_last_line' ELSE 'fallback_truncated' END AS status, text = '' OR len(lines) = 0 AS fallback FROM l",
+    "structured_context": "WITH m AS (SELECT user_id AS instance, event_type AS evidence, 'e' || event_id AS q, least(1.0::DOUBLE, value / 20) AS c FROM events), l AS (SELECT *, '- ' || q || ': ' || evidence || ' (' || round(c::DECIMAL(20,10), 2)::DECIMAL(12,2)::VARCHAR || ')' AS line FROM m), e AS (SELECT instance, evidence, sum(c::DECIMAL(20,10))::DOUBLE / count(*) AS mean, count(*) AS n, string_agg(line, chr(10) ORDER BY c DESC, line) AS body FROM l GROUP BY 1, 2) "
+    "SELECT instance, string_agg('[' || evidence || '] mean ' || round(mean::DECIMAL(20,10), 2)::DECIMAL(12,2)::VARCHAR || ', ' || n || ' matches' || chr(10) || body, chr(10) ORDER BY mean DESC, n DESC, evidence) AS context FROM e GROUP BY 1",
+    "supporting_span": "WITH a AS (SELECT doc_id, text, trim(lang) AS needle, CASE WHEN trim(lang) = '' THEN 0 ELSE strpos(text, trim(lang)) END AS p FROM documents), s AS (SELECT *, trim(substr(text, greatest(1, p - 50), p + length(needle) + 50 - greatest(1, p - 50))) AS span FROM a) SELECT doc_id, CASE WHEN p > 0 THEN CASE WHEN length(span) <= 200 THEN span ELSE substr(span, 1, 200) || '...' END WHEN length(text) <= 100 THEN text ELSE substr(text, 1, 100) || '...' END AS span FROM s",
+    "chunk_split": r"WITH c AS (SELECT doc_id, length(text) AS n, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text <> ''), l AS (SELECT *, lead(ch) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM c), e AS (SELECT doc_id, n, i FROM l WHERE ch IN ('.', '!', '?') AND nx IS NOT NULL AND regexp_matches(nx, '[ \t\n\x0B\f\r]')), "
+    "o AS (SELECT doc_id, arg_min(i, (abs(i - n / 3.0) * 3, i)) AS one FROM e GROUP BY 1), w AS (SELECT e.doc_id, arg_min(i, (abs(i - n * 2 / 3.0) * 3, i)) AS two FROM e JOIN o USING (doc_id) WHERE i > one GROUP BY 1) SELECT doc_id, (1 + (one IS NOT NULL)::INT + (two IS NOT NULL)::INT)::INT AS n_chunks, true AS whole FROM documents LEFT JOIN o USING (doc_id) LEFT JOIN w USING (doc_id)",
+    "rule_graph": r"WITH w AS (SELECT doc_id AS graph, unnest(regexp_extract_all(text, '[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]')) AS w FROM documents), v AS (SELECT DISTINCT graph, lower(w) AS w FROM w WHERE length(w) >= 4 OR regexp_full_match(w, '[0-9]+') OR lower(w) IN ('who', 'whose', 'what', 'which', 'when', 'where', 'why', 'how')) SELECT graph, count(*) AS n_vertices, count(*) FILTER (regexp_full_match(w, '[0-9]+')) AS n_numbers FROM v GROUP BY 1",
+    "greedy_one_to_one": "WITH RECURSIVE s AS (SELECT l_orderkey AS pair, l_suppkey AS u, l_partkey AS v, l_extendedprice AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_suppkey, l_partkey) AS k FROM lineitem), "
+    "r AS (SELECT pair, k, u, v, score, true AS kept, [u] AS us, [v] AS vs FROM s WHERE k = 1 UNION ALL SELECT s.pair, s.k, s.u, s.v, s.score, NOT (list_contains(us, s.u) OR list_contains(vs, s.v)), CASE WHEN list_contains(us, s.u) OR list_contains(vs, s.v) THEN us ELSE list_append(us, s.u) END, CASE WHEN list_contains(us, s.u) OR list_contains(vs, s.v) THEN vs ELSE list_append(vs, s.v) END FROM r JOIN s ON s.pair = r.pair AND s.k = r.k + 1) SELECT pair, u, v, score FROM r WHERE kept",
+    "method_vanilla": f"WITH {_TURNS} SELECT conv_id AS instance, turn AS doc, md5(before) AS query, md5(text) AS text FROM i",
+    "method_contradoc": f"WITH {_TURNS} SELECT conv_id AS instance, turn AS doc, md5(before) AS query, md5(CASE WHEN {_label('text', 'before')} = 'contradiction' THEN '[CONTRADICTED] ' ELSE '' END || text) AS text FROM i",
+    "method_cdit": f"WITH {_TURNS}, h AS (SELECT *, {_score('text', 'before')} >= 0.5 AS hit FROM i), m AS (SELECT *, bool_or(hit) OVER (PARTITION BY conv_id) AS any_hit FROM h) SELECT conv_id AS instance, turn AS doc, md5(before) AS query, md5(text) AS text FROM m WHERE hit OR NOT any_hit",
+    "method_sentli": f"WITH {_TURNS} SELECT conv_id AS instance, turn AS doc, md5(before) AS query, md5('[SENTLI: ' || {_label('substr(text, 1, 512)', 'before')} || '] ' || text) AS text FROM i",
+}
