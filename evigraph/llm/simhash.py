@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, Words, connected_components, small, stored
-from .lines import similar_links, sized_id
+from .lines import candidate_pairs, sized_id
 from .substrings import cut
 
 SEED = 42
@@ -206,7 +206,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
 
     Linked are texts whose sets of word shingles have a Jaccard similarity of
     ``similarity`` or more, verified, if they share one of their ``SMALLEST``
-    least shingle hashes (see ``lines.similar_links``); at 0.8 all differ with a
+    least shingle hashes (see ``lines.candidate_pairs``); at 0.8 all differ with a
     probability of 0.2 ** SMALLEST. The row with the smallest doc_id stays (null
     ids last; among rows with one id the one whose content hashes smallest,
     once). Null, empty and word-less texts are equal. Texts of any length take
@@ -230,7 +230,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
         both = both.withColumn("same", F.size(F.array_intersect("x", "y")))
         return both.where(F.col("same") >= similarity * (F.size("x") + F.size("y") - F.col("same")) - 1e-9).select("a", "b")
 
-    members = stored(connected_components(similar_links(distinct.select("id", "keys"), similarity, verify), "a", "b"), "near_groups")
+    members = stored(connected_components(verify(candidate_pairs(distinct.select("id", "keys"), similarity)), "a", "b"), "near_groups")
     best = members.join(distinct, "id").groupBy("component").agg(F.min("own").alias("best"))
     alone = distinct.join(small(members.select("id")), "id", "left_anti").select(F.col("own").alias("best"))
     chosen = stored(best.select("best").union(alone).select("best.doc_id", "best.content"), "near_chosen")

@@ -21,8 +21,9 @@ from .common import Words, mix
 #: Odd multiplier of the rolling polynomial modulo 2**64, and its inverse.
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
-CHUNK_DOCS = 1000
-BUCKET_DOCS = 4000
+#: Most rows and bytes of a chunk and of a bucket, on average.
+CHUNK_DOCS, CHUNK_BYTES = 1000, 8 << 20
+BUCKET_DOCS, BUCKET_BYTES = 4000, 32 << 20
 _LONG_WORD = 64
 
 
@@ -84,14 +85,14 @@ def dedup_substrings(docs: DataFrame, window: int = 35) -> DataFrame:
     Returns doc_id, n_words, n_removed and kept_text (kept words joined by one
     space) for every row. A window is ``window`` consecutive words of one
     document; it goes if its words also start anywhere else, the same document
-    included, judged on the input. Null and empty texts have no words and keep
-    ""; a repeated row counts as a repetition; documents shorter than a window
+    included, judged on the input. Rows with one id and one text meet in one
+    chunk. Null and empty texts have no words and keep ""; a repeated row counts as a repetition; documents shorter than a window
     stay whole. A text of any length is taken whole; an empty table gives no
     rows; other columns are not read. Windows are told apart by a 64-bit hash: for n windows about
     n * n / 2**65 pairs of different windows are expected to be taken as equal.
     """
-    rows = docs.count()
-    chunks, buckets = max(8, -(-rows // CHUNK_DOCS)), max(16, -(-rows // BUCKET_DOCS))
+    rows, held = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    chunks, buckets = max(8, -(-rows // CHUNK_DOCS), -(-held // CHUNK_BYTES)), max(16, -(-rows // BUCKET_DOCS), -(-held // BUCKET_BYTES))
     dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
 
     def owner(unique: np.ndarray) -> np.ndarray:
