@@ -78,13 +78,24 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def token_f1(prediction: Column, truth: Column, **kind: bool) -> Column:
-    """F1 of the multisets of normalised tokens; 0 if they share none."""
-    p, t = _words(normalize_answer(prediction, **kind)), _words(normalize_answer(truth, **kind))
-    many = lambda a, w: F.size(F.filter(a, lambda x: x == w))
-    same = F.aggregate(F.transform(F.array_intersect(p, t), lambda w: F.least(many(p, w), many(t, w))), F.lit(0), lambda a, x: a + x)
-    precision, recall = same / F.size(p), same / F.size(t)
-    return F.when(same == 0, F.lit(0.0)).otherwise(2 * precision * recall / (precision + recall))
+    """F1 of the multisets of normalised tokens; 0 if they share none.
+
+    A token is numbered among its equals in sorted order, so what two sorted
+    arrays share as sets is what they share as multisets."""
+    words = lambda c: F.sort_array(_words(normalize_answer(c, **kind)))
+    numbered = lambda a: F.transform(a, lambda x, i: F.concat(x, F.lit(" "), (i - F.array_position(a, x)).cast("string")))
+
+    def score(s: Column) -> Column:
+        same = F.size(F.array_intersect(numbered(s["p"]), numbered(s["t"])))
+        return _let(F.struct(same.alias("n"), F.size(s["p"]).alias("p"), F.size(s["t"]).alias("t")), lambda c: F.when(c["n"] == 0, F.lit(0.0)).otherwise(2 * (c["n"] / c["p"]) * (c["n"] / c["t"]) / (c["n"] / c["p"] + c["n"] / c["t"])))
+
+    return _let(F.struct(words(prediction).alias("p"), words(truth).alias("t")), score)
 
 
 def over_truths(metric, prediction: Column, truths: Column, **kind: bool) -> Column:
