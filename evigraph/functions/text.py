@@ -3,6 +3,9 @@ Unicode classes, as ``SPACE``; null gives null unless stated."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +49,16 @@ def to_ascii_marks(text: Column) -> Column:
     return F.replace(F.translate(out, "⁄∕", "//"), F.lit("…"), F.lit("..."))
 
 
+def decomposed(text: Column) -> Column:
+    """Unicode NFD, which no built-in function gives; by Arrow batches."""
+
+    @F.pandas_udf("string")
+    def nfd(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFD", t))
+
+    return nfd(text)
+
+
 def tokens(text: Column, uncased: bool = False) -> Column:
     """Runs of letters, digits and marks, or single other visible characters."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]"), F.lit(0))

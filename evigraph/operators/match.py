@@ -107,6 +107,28 @@ def simulation_quads(edge_vertices: DataFrame, relation: DataFrame) -> DataFrame
     return pairs.join(relation.select("instance", "u", "v"), ["instance", "u"]).join(relation.select("instance", F.col("u").alias("x"), F.col("v").alias("y")), ["instance", "x"])
 
 
+def canonical_types(data: DataFrame, query: DataFrame) -> DataFrame:
+    """``data`` (instance, text, type, …) with the type of the query vertex of
+    the same lower-case text, the smallest of several; others keep theirs."""
+    key = F.lower(F.trim("text"))
+    forced = query.where("type is not null").groupBy("instance", key.alias("_key")).agg(F.min("type").alias("_forced"))
+    joined = data.withColumn("_key", key).join(forced, ["instance", "_key"], "left")
+    return joined.select(*[F.coalesce("_forced", "type").alias(c) if c == "type" else F.col(c) for c in data.columns])
+
+
+def vertices_of_nodes(nodes: DataFrame) -> DataFrame:
+    """(graph, vertex_id, text, poses, ents, query_type, provenance) of tokens
+    (graph, vertex_id, idx, text, pos, ent, query_type, source): text and first
+    type asked for by place, the others without repeats."""
+    return nodes.groupBy("graph", "vertex_id").agg(
+        F.min_by("text", "idx").alias("text"),
+        F.array_sort(F.collect_set("pos")).alias("poses"),
+        F.array_sort(F.collect_set("ent")).alias("ents"),
+        F.min_by("query_type", F.when(F.col("query_type").isNotNull(), F.col("idx"))).alias("query_type"),
+        F.array_sort(F.collect_set("source")).alias("provenance"),
+    )
+
+
 def migrate_types(vertices: DataFrame, known: DataFrame) -> DataFrame:
     """``vertices`` (instance, text, type, …) with the type that ``known``
     (instance, text, type, place) gives their lower-case text, the last place's."""

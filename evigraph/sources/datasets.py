@@ -7,6 +7,8 @@ adds. Missing fields become "" or an empty array. ``load`` is the registry.
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,10 +94,12 @@ def lobbying(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(_text("id").alias("_id"), F.format_string("Is this bill relevant to %s?", _text("company_name")).alias("question"), _text("answer").alias("answer"), _one(F.lit("bill"), _text("text")).alias("context"), F.lit("legislation").alias("context_type"))
 
 
-def scalr(spark: SparkSession, path: str, choices: int = 10) -> DataFrame:
-    names = [f"choice_{i}" for i in range(choices)]
-    raw = _read(spark, path, "id string, question string, answer int, text string, " + ", ".join(f"{n} string" for n in names))
-    options = F.array_compact(F.array(*names))
+def scalr(spark: SparkSession, path: str) -> DataFrame:
+    """Options are all ``choice_<n>`` that the file has, in order of n."""
+    there = [c for c in spark.read.json(path).columns if re.fullmatch(r"choice_\d+", c)]
+    names = sorted(there, key=lambda c: int(c.removeprefix("choice_")))
+    raw = _read(spark, path, ", ".join(["id string, question string, answer int, text string", *[f"{n} string" for n in names]]))
+    options = F.array_compact(F.array(*names)) if names else F.array().cast("array<string>")
     shown = F.array_join(F.transform(options, lambda o, i: F.concat(F.chr(i + 65), F.lit(") "), o)), "\n")
     return raw.select(_text("id").alias("_id"), F.concat(_text("question"), F.lit("\n\nOptions:\n"), shown).alias("question"), F.chr(F.col("answer") + 65).alias("answer"), F.col("answer").alias("answer_index"), F.when(_text("text") != "", _one(F.lit("text"), _text("text"))).otherwise(F.array().cast(_PASSAGES)).alias("context"), F.lit("holding").alias("context_type"))
 

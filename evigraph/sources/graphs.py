@@ -52,3 +52,26 @@ def with_status(items: DataFrame, index: DataFrame, key: str) -> DataFrame:
 def save_vectors(vectors: DataFrame, path: str, block: int = 50_000) -> None:
     """A vector table in files of ``block`` rows, appended."""
     vectors.write.mode("append").option("maxRecordsPerFile", block).parquet(path)
+
+
+def load_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def save_prompts(rows: DataFrame, path: str, question: str, prompt: str) -> None:
+    """One JSON line (question, prompt) for each row, appended."""
+    rows.select(F.col(question).alias("question"), F.col(prompt).alias("prompt")).write.mode("append").json(path)
+
+
+def append_run(spark: SparkSession, path: str, run: dict[str, str]) -> None:
+    """One run's values as a row of a log; ``load_runs`` reads them all."""
+    spark.createDataFrame([run]).write.mode("append").json(path)
+
+
+def load_runs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.json(path)
+
+
+def query_log(events: DataFrame, path: str) -> None:
+    """Log lines (question_id, place, line) in a folder for each question."""
+    events.repartition("question_id").sortWithinPartitions("question_id", "place").write.mode("append").partitionBy("question_id").json(path)

@@ -93,6 +93,20 @@ def migrated_types(s, d):
     return match.migrate_types(vertices, known).select("vertex_id", "type", "change")
 
 
+def canonical_types(s, d):
+    p = s.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_type", "p_size")
+    data = p.select(F.lit(0).alias("instance"), F.col("p_partkey").alias("vertex_id"), F.col("p_name").alias("text"), F.col("p_type").alias("type"))
+    query = p.where("p_size = 7").select(F.lit(0).alias("instance"), F.upper("p_name").alias("text"), F.lower("p_type").alias("type"))
+    return match.canonical_types(data, query).select("vertex_id", "type")
+
+
+def vertices_of_nodes(s, d):
+    e = s.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "event_type")
+    nodes = e.select(F.lit(0).alias("graph"), F.col("user_id").alias("vertex_id"), F.col("event_id").alias("idx"), F.col("event_type").alias("text"), F.col("event_type").alias("pos"), (F.col("event_id") % 3).cast("string").alias("ent"), F.when(F.col("event_id") % 5 == 0, F.col("event_type")).alias("query_type"), (F.col("event_id") % 4).alias("source"))
+    out = match.vertices_of_nodes(nodes)
+    return out.select("vertex_id", "text", F.array_join("poses", ",").alias("poses"), F.array_join("ents", ",").alias("ents"), "query_type", F.size("provenance").cast("long").alias("sources"))
+
+
 def text_tools(s, d):
     t = F.col("text")
     return s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", "text").select(
@@ -183,7 +197,7 @@ def ranking_metrics(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    vertex_predicates, vertex_pair_predicates, soft_matches, matched_vertices, simulation_quads, migrated_types, text_tools, option_texts,
+    vertex_predicates, vertex_pair_predicates, soft_matches, matched_vertices, simulation_quads, migrated_types, canonical_types, vertices_of_nodes, text_tools, option_texts,
     answer_scores, timing_summary, first_hits, rank_diagnostics, preferred_order, graph_sizes, passages_met, token_windows, ranking_metrics,
 )}
 
@@ -217,6 +231,8 @@ ORACLE_SQL = {
     "matched_vertices": f"WITH p AS (SELECT n_nationkey AS instance, n_nationkey AS u, s_suppkey AS v, list_distinct({_TOK.format(x='lower(s_name)')}) AS t, list_distinct({_TOK.format(x='''lower('Supplier ' || n_name)''')}) AS h FROM nation JOIN supplier ON s_nationkey = n_nationkey), c AS (SELECT *, len(list_intersect(t, h)) / len(h) AS score FROM p) SELECT instance, u, v, round(score, 6) AS score FROM c WHERE score >= 0.99 OR (score >= 0.2 AND v % 2 = 0)",
     "simulation_quads": "WITH e AS (SELECT DISTINCT l_orderkey AS edge, l_suppkey AS w FROM lineitem WHERE l_linenumber <= 2), p AS (SELECT DISTINCT a.w AS u, b.w AS x FROM e a JOIN e b USING (edge) WHERE a.w < b.w) SELECT u, x, s.s_nationkey AS v, t.s_nationkey AS y FROM p JOIN supplier s ON s.s_suppkey = u JOIN supplier t ON t.s_suppkey = x",
     "migrated_types": "WITH k AS (SELECT lower(trim(p_name)) AS key, arg_max(p_type, p_partkey) AS known FROM part WHERE p_size > 40 GROUP BY 1), v AS (SELECT p_partkey AS vertex_id, lower(trim(p_name)) AS key, CASE WHEN p_size % 3 = 0 THEN p_type END AS type FROM part) SELECT vertex_id, coalesce(known, type) AS type, CASE WHEN known IS NULL THEN 'unchanged' WHEN type IS NULL THEN 'filled' WHEN type <> known THEN 'fixed' ELSE 'unchanged' END AS change FROM v LEFT JOIN k USING (key)",
+    "canonical_types": "WITH k AS (SELECT lower(trim(p_name)) AS key, min(lower(p_type)) AS forced FROM part WHERE p_size = 7 GROUP BY 1) SELECT p_partkey AS vertex_id, coalesce(forced, p_type) AS type FROM part LEFT JOIN k ON key = lower(trim(p_name))",
+    "vertices_of_nodes": "SELECT user_id AS vertex_id, arg_min(event_type, event_id) AS text, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS poses, array_to_string(list_sort(list(DISTINCT (event_id % 3)::VARCHAR)), ',') AS ents, arg_min(event_type, event_id) FILTER (event_id % 5 = 0) AS query_type, count(DISTINCT event_id % 4) AS sources FROM events GROUP BY 1",
     "option_texts": "SELECT p_partkey, 'Choose.' || chr(10) || chr(10) || '### Input:' || chr(10) || p_name || chr(10) || 'A: ' || p_name || chr(10) || 'B: ' || p_brand || chr(10) || 'C: ' || p_type || chr(10) || 'D: ' AS prompt, CASE p_partkey % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'C' WHEN 2 THEN 'A' END AS chosen FROM part",
     "answer_scores": r"SELECT round(100 * avg((role = 'user')::INT), 6) AS em, round(100 * avg((contains(lower(text), 'the') OR regexp_matches(lower(text), '(^|[^\p{L}\p{N}\p{M}_])on($|[^\p{L}\p{N}\p{M}_])'))::INT), 6) AS matched FROM conversations",
     "timing_summary": "SELECT event_type, count(*) AS runs, sum(value::DECIMAL(12,4))::DOUBLE AS total, round(sum(value::DECIMAL(12,4))::DOUBLE / count(*), 6) AS mean FROM events GROUP BY 1",
