@@ -121,7 +121,7 @@ def d_matches(query: Side, data: Side, pairs: DataFrame, of_query: DataFrame, of
     return best.select(F.col("pair").alias("sc"), "u", "v", "score").join(pairs.select("instance", "sc"), "sc").select("instance", "sc", "u", "v", "score")
 
 
-def hyper_simulation(query: Side, data: Side, clusters: DataFrame | None = None, sigma: float = 0.75, b: int = 5, delta: float = 0.7, label: match.Scorer | None = match.lexical_label, strict: bool = False) -> Simulation:
+def hypergraph_simulation(query: Side, data: Side, clusters: DataFrame | None = None, sigma: float = 0.75, b: int = 5, delta: float = 0.7, label: match.Scorer | None = match.lexical_label, strict: bool = False) -> Simulation:
     """Allowed pairs by type, the ``b`` likeliest of each query vertex, cluster
     pairs from ``sigma``, matches over ``delta``, and the greatest relation in
     which every pair stays supported (``operators.simulation``). A cluster pair

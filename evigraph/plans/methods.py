@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import vector, vertex
 from ..operators import build, graph, match, simulation
 from ..operators.match import lexical_entailment, lexical_label, with_embedding
-from .hyper import Side, hyper_simulation
+from .hyper import Side, hypergraph_simulation
 from .tables import cut
 
 
@@ -95,14 +95,14 @@ def hyper(rows: DataFrame, near: float = 0.25, **limits: float) -> DataFrame:
     """Documents marked as consistent or as contradictions by the simulation of
     their query: see ``consistent_detection``. Critical are the query's nouns."""
     query, data, of = graphs_of(rows)
-    relation = hyper_simulation(query, data, **limits).relation
+    relation = hypergraph_simulation(query, data, **limits).relation
     pairs = relation.select(F.col("instance").alias("pair"), "u").distinct().join(of, "pair").select("instance", "doc", "u")
     nouns = query.vertices.where(F.col("query_type").isNull() & vertex.any_pos(F.col("poses"), "NOUN", "PROPN"))
     critical = nouns.select(F.col("instance").alias("pair"), F.col("vertex_id").alias("u")).join(of, "pair").select("instance", "doc", "u")
     return consistent_detection(rows, critical, pairs, near).drop("verdict")
 
 
-METHODS: dict[str, Callable[[DataFrame], DataFrame]] = {"vanilla": vanilla, "contradoc": contradoc, "cdit": similar_only, "sentli": sentli, "sparsecl": sparsecl, "bsim": bsim, "hyper_simulation": hyper}
+METHODS: dict[str, Callable[[DataFrame], DataFrame]] = {"vanilla": vanilla, "contradoc": contradoc, "cdit": similar_only, "sentli": sentli, "sparsecl": sparsecl, "bsim": bsim, "hypergraph_simulation": hyper}
 
 
 def apply_method(name: str, rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import render
 from evigraph.operators import clusters, dependency, match, retrieval, simulation
-from evigraph.plans.hyper import Side, hyper_simulation
+from evigraph.plans.hyper import Side, hypergraph_simulation
 from evigraph.plans.methods import apply_method
 
 
@@ -90,14 +90,14 @@ def side(spark, words, edges, asked=None):
     return Side(spark.createDataFrame(v, "instance int, vertex_id long, text string, type string, poses array<string>, virtual boolean, query_type string"), spark.createDataFrame(m, "instance int, edge long, pos int, vertex_id long"))
 
 
-def test_hyper_simulation_of_a_small_graph(spark):
+def test_hypergraph_simulation_of_a_small_graph(spark):
     query = side(spark, [(1, "wrote", None, "VERB"), (2, "Ann Bell", "PERSON", "PROPN"), (3, "Red River", "WORK_OF_ART", "PROPN")], [[1, 2, 3]])
     data = side(
         spark,
         [(1, "wrote", None, "VERB"), (2, "Ann Bell", "PERSON", "PROPN"), (3, "Red River", "WORK_OF_ART", "PROPN"), (4, "sold", None, "VERB"), (5, "Carl Moe", "PERSON", "PROPN"), (6, "Blue Hill", "WORK_OF_ART", "PROPN")],
         [[1, 2, 3], [4, 5, 6]],
     )
-    out = hyper_simulation(query, data)
+    out = hypergraph_simulation(query, data)
     relation = {(r.u, r.v) for r in out.relation.collect()}
     # the right person and book support each other; the other edge's texts differ
     assert relation == {(2, 2), (3, 3)}
@@ -105,14 +105,14 @@ def test_hyper_simulation_of_a_small_graph(spark):
     assert out.delta.where("score < 0.75").count() == 0 and out.delta.count() >= 1
     # nothing allowed gives nothing
     other = side(spark, [(9, "2001", "TEMPORAL", "NUM")], [[9]])
-    assert hyper_simulation(query, other).relation.collect() == []
+    assert hypergraph_simulation(query, other).relation.collect() == []
 
 
 def test_methods_on_small_instances(spark):
     rows = spark.createDataFrame([(1, 1, "Who wrote Red River?", "Ann Bell wrote Red River."), (1, 2, "Who wrote Red River?", "Quite another thing happened."), (2, 1, "Nothing fits here", "Entirely different words stand")], "instance int, doc int, query string, text string")
     kept = {(r.instance, r.doc) for r in apply_method("bsim", rows).collect()}
     assert (2, 1) in kept and kept <= {(1, 1), (1, 2), (2, 1)}
-    marked = apply_method("hyper_simulation", rows)
+    marked = apply_method("hypergraph_simulation", rows)
     assert marked.columns == rows.columns and all(r.text.startswith(("[consistent] ", "[contradiction] ")) for r in marked.collect())
 
 
