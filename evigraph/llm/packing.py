@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from .tokens import encoder
 
 #: Remainders that are packed together, and the size at which halving ends.
-POOL, FINEST = 512, 8
+POOL, FINEST = 512, 32
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
