@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, neighbours, packing, quality, secrets, sentencepiece_codec, simhash, substrings, token_files, urls
+from . import lines, middle, neighbours, packing, quality, secrets, sentencepiece_codec, simhash, substrings, token_files, urls
 from .common import table
 
 #: Where the vocabularies are; a parameter of the operators.
@@ -75,6 +75,12 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.restore_middle(middle.fill_in_middle(table(spark, sf_dir, "documents", "doc_id", "text")))
+    digest = lambda c: F.sha2(c, 256).alias(f"{c}_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py over ``documents``."""
     import corpus_pipeline
@@ -82,5 +88,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_lines, op3_token_files, op4_quality, op5_substrings, op6_packing, op7_simhash, op8_secrets, op9_urls, op10_neighbours, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_lines, op3_token_files, op4_quality, op5_substrings, op6_packing, op7_simhash, op8_secrets, op9_urls, op10_neighbours, op13_middle, pipeline)}
 ORACLE_SQL = {"op4_quality": quality.SQL, "op9_urls": urls.SQL}
