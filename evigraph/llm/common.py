@@ -47,7 +47,19 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of those of ``tables`` that ``stored`` gave, once
+    nothing reads them any more; others are left alone."""
+    for table in tables:
+        if path := getattr(table, "_stored_at", None):
+            sc = table.sparkSession.sparkContext
+            place = sc._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small(df: DataFrame, rows: int = 500_000) -> DataFrame:

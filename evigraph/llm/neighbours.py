@@ -82,7 +82,7 @@ def _encoded(valid: DataFrame, learnt) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(at, BLOCK)
-                codes, norms = encode(_matrix(batch.column(1)), learnt.value)
+                codes, norms = encode(matrix(batch.column(1)), learnt.value)
                 code = pa.array([row.tobytes() for row in codes], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), code, pa.array(norms)], names=["vec_id", "embedding", "code", "norm"])
 
@@ -116,7 +116,7 @@ def search(vectors: DataFrame, divisor: int = 100, k: int = 10, rerank: float =
     picked = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
     if not picked.num_rows:
         return spark.createDataFrame([], schema)
-    learnt = spark.sparkContext.broadcast(fit(_matrix(picked.column("embedding"))))
+    learnt = spark.sparkContext.broadcast(fit(matrix(picked.column("embedding"))))
     coded = stored(_encoded(valid, learnt), "vector_codes")
     asked = coded.where(F.col("vec_id") % divisor == 0).select("vec_id", "embedding")
     blocks = -(-asked.count() // QUERY_BLOCK)
@@ -127,14 +127,14 @@ def search(vectors: DataFrame, divisor: int = 100, k: int = 10, rerank: float =
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
         got = part.orderBy("vec_id").toArrow()
         if got.num_rows:
-            found = _scored(coded, learnt, spark.sparkContext.broadcast((got.column("vec_id").to_numpy(), _matrix(got.column("embedding")))), k, rerank)
+            found = _scored(coded, learnt, spark.sparkContext.broadcast((got.column("vec_id").to_numpy(), matrix(got.column("embedding")))), k, rerank)
             out = found if out is None else out.union(found)
     order = Window.partitionBy("query_id", "query_row").orderBy("score", "vec_id")
     ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
@@ -159,7 +159,7 @@ def _scored(coded: DataFrame, learnt, asked, k: int, rerank: float) -> DataFrame
         for batch in batches:
             if batch.num_rows:
                 codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
-                parts.append((batch.column(0).to_numpy(), _matrix(batch.column(1)), codes, batch.column(3).to_numpy()))
+                parts.append((batch.column(0).to_numpy(), matrix(batch.column(1)), codes, batch.column(3).to_numpy()))
                 held += batch.num_rows
             if held >= BLOCK:
                 yield tuple(map(np.concatenate, zip(*parts, strict=True)))

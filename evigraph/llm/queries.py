@@ -6,10 +6,12 @@ with its production parameters.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, middle, neighbours, packing, quality, secrets, sentencepiece_codec, simhash, substrings, token_files, urls
+from . import lines, middle, neighbours, packing, quality, secrets, sentencepiece_codec, simhash, substrings, token_files, urls, vector_codes
 from .common import table
 
 #: Where the vocabularies are; a parameter of the operators.
@@ -75,6 +77,16 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes with errors, and a digest of all final codebook entries."""
+    made = vector_codes.compress(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    if made is None:
+        return spark.createDataFrame([], "vec_id long, code string, error long, label_error long, codebooks_sha256 string")
+    digest = hashlib.sha256(",".join(map(str, made.books.ravel().tolist())).encode()).hexdigest()
+    rows = vector_codes.with_label_error(made.rows)
+    return rows.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = middle.restore_middle(middle.fill_in_middle(table(spark, sf_dir, "documents", "doc_id", "text")))
     digest = lambda c: F.sha2(c, 256).alias(f"{c}_sha256")
@@ -88,5 +100,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_lines, op3_token_files, op4_quality, op5_substrings, op6_packing, op7_simhash, op8_secrets, op9_urls, op10_neighbours, op13_middle, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_lines, op3_token_files, op4_quality, op5_substrings, op6_packing, op7_simhash, op8_secrets, op9_urls, op10_neighbours, op11_codes, op13_middle, pipeline)}
 ORACLE_SQL = {"op4_quality": quality.SQL, "op9_urls": urls.SQL}
