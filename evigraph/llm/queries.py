@@ -11,7 +11,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, middle, neighbours, packing, quality, secrets, sentencepiece_codec, simhash, substrings, token_files, urls, vector_codes
+from . import lines, middle, neighbours, packing, personal, quality, secrets, sentencepiece_codec, simhash, substrings, token_files, urls, vector_codes
 from .common import table
 
 #: Where the vocabularies are; a parameter of the operators.
@@ -87,6 +87,14 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
 
 
+def op12_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans, and all spans by kind and start."""
+    found = personal.find_personal(table(spark, sf_dir, "documents", "doc_id", "text"))
+    many = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{personal.KINDS[k]}")
+    listed = personal.listed
+    return found.select("doc_id", *map(many, range(4)), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.array_sort(F.concat("base", "more"))).alias("spans"), F.size("more").cast("long").alias("n_added"))
+
+
 def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = middle.restore_middle(middle.fill_in_middle(table(spark, sf_dir, "documents", "doc_id", "text")))
     digest = lambda c: F.sha2(c, 256).alias(f"{c}_sha256")
@@ -100,5 +108,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_lines, op3_token_files, op4_quality, op5_substrings, op6_packing, op7_simhash, op8_secrets, op9_urls, op10_neighbours, op11_codes, op13_middle, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_lines, op3_token_files, op4_quality, op5_substrings, op6_packing, op7_simhash, op8_secrets, op9_urls, op10_neighbours, op11_codes, op12_personal, op13_middle, pipeline)}
 ORACLE_SQL = {"op4_quality": quality.SQL, "op9_urls": urls.SQL}

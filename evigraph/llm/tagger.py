@@ -160,7 +160,7 @@ def loss(model: Tagger, ids: np.ndarray, labels: np.ndarray) -> tuple[float, dic
     return float(total - score) / n, grad
 
 
-def fit(ids: np.ndarray, labels: np.ndarray, kinds: int, hidden: int = 24, batch: int = 32, rate: float = 0.015, seed: int = 3) -> Tagger:
+def fit(ids: np.ndarray, labels: np.ndarray, kinds: int, hidden: int = 24, batch: int = 32, rate: float = 0.03, seed: int = 3) -> Tagger:
     """A tagger for windows ``ids`` with their ``labels``, by one pass of Adam
     with a falling rate, in batches."""
     rng = np.random.default_rng(seed)
