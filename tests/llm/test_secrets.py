@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -84,3 +85,38 @@ def test_recall_of_planted_keys(spark, sf_dir):
     assert all(found[k] >= 95 for k in kinds)
     plain = secrets.secrets_digest(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
     assert plain.where("spans like '%entropy%'").count() == 0
+
+
+def timed(spark, texts):
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    began = time.perf_counter()
+    rows = secrets.find_secrets(frame).select("doc_id", "spans", secrets.redacted(F.col("text"), F.col("spans")).alias("safe")).collect()
+    return {r.doc_id: r for r in rows}, time.perf_counter() - began
+
+
+def test_long_runs_take_linear_time(spark):
+    """One base64 run of up to a million characters, one run in which only the
+    last window is random, a path of many names, many keys in one text."""
+    rng = random.Random(3)
+    letters = secrets.CLASSES[1][0][:64]
+    run = lambda n: "".join(rng.choices(letters, k=n))
+    timed(spark, ["x " + run(30)])
+    _, first = timed(spark, ["at " + run(100_000) + " end"])
+    big = run(1_000_000)
+    got, second = timed(spark, ["é " + big + " end", "aB" * 5_000 + run(30), "abc/Def/" * 60_000, " ".join(run(40) for _ in range(8_000)), run(10_000)])
+    assert [tuple(s) for s in got[0].spans if s["kind"] == 3] == [(3, 2, 1_000_002)] and got[0].safe == "é [SECRET] end"
+    assert [tuple(s) for s in got[1].spans] == [(3, 0, 10_030)]
+    assert got[2].spans == [] and got[2].safe == "abc/Def/" * 60_000
+    assert len(got[3].spans) >= 7_900 and got[3].safe.count("[SECRET]") >= 7_900
+    assert [tuple(s) for s in got[4].spans if s["kind"] == 3] == [(3, 0, 10_000)]
+    print(first, second)
+    assert second < 60
+
+
+def test_running_values_equal_a_loop(spark):
+    rows = [(i, [(7 * i + 3 * j) % 11 for j in range(n)]) for i, n in enumerate((0, 1, 127, 128, 129, 300, 1000))]
+    frame = spark.createDataFrame(rows, "i int, v array<int>")
+    got = frame.select("i", secrets.running(F.col("v"), lambda a, x: a + x, F.lit(0)).alias("s"), secrets.running(F.col("v"), lambda a, x: F.greatest(a, x), F.lit(0)).alias("m")).collect()
+    for r, (_, v) in zip(sorted(got), rows, strict=True):
+        assert r.s == [sum(v[:j]) for j in range(len(v))]
+        assert r.m == [max(v[:j], default=0) for j in range(len(v))]
