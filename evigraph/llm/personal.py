@@ -29,6 +29,8 @@ KINDS = ("email", "ip", "card", "phone", "id")
 WINDOW, STEP = 96, 48
 #: Texts that training windows are cut from, at most, the windows, their length.
 SAMPLE, TRAINED, TRAINED_WINDOW = 1024, 16_000, 64
+#: So much of a text is used to train on; all of it is tagged.
+SAMPLED_CHARS = 1 << 16
 #: Windows that are tagged together.
 TOGETHER = 256
 #: Every tagged span holds a digit, an at sign or an at in brackets: places
@@ -346,8 +348,8 @@ def find_personal(docs: DataFrame, sample: int = SAMPLE, many: int = TRAINED, se
     Returns doc_id, base (spans of the base patterns) and more (what the tagger
     adds), arrays of (kind, start, end) in code points by kind and start, where
     kind indexes ``KINDS``. The tagger is fitted once, on ``many`` windows of at
-    most ``sample`` texts, those with the smallest hashes of text; so equal
-    tables give equal spans. Null and empty texts have no spans. Texts of any
+    most ``sample`` different texts, those with the smallest hashes, up to
+    ``SAMPLED_CHARS`` of each; so equal tables give equal spans. Null and empty texts have no spans. Texts of any
     length are searched whole, and a task holds one batch of texts and ``TOGETHER``
     windows. Each row is searched for itself, where it is read: repeated rows
     give repeated results, ids may tie or be null, and an empty table gives no
@@ -355,8 +357,11 @@ def find_personal(docs: DataFrame, sample: int = SAMPLE, many: int = TRAINED, se
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    some = rows.select(F.substring("text", 1, 1 << 16).alias("text"), F.xxhash64("text").alias("h")).where("text <> ''").orderBy("h", "text").limit(sample)
-    texts = sorted({r.text for r in some.select("text").toLocalIterator()})
+    # hashes are few bytes, so they alone are sorted; then their texts are fetched
+    named = rows.where("text <> ''").select(F.xxhash64("text").alias("h"), "text")
+    least = [r.h for r in named.select("h").distinct().orderBy("h").limit(sample).collect()]
+    some = named.where(F.col("h").isin(least)).groupBy("h").agg(F.min(F.substring("text", 1, SAMPLED_CHARS)).alias("text"))
+    texts = [r.text for r in some.orderBy("h").collect()] if least else []
     if not texts:
         return rows.select("doc_id", *[F.array().cast("array<struct<kind:int,start:int,end:int>>").alias(c) for c in ("base", "more")])
     model = spark.sparkContext.broadcast(trained(texts, many, seed))
