@@ -137,18 +137,26 @@ def mark_vertices(tokens: DataFrame, is_query: bool = False) -> DataFrame:
 def compress_dependencies(tokens: DataFrame) -> DataFrame:
     """(graph, idx, pred, skipped): each vertex with its nearest ancestor that is
     one, and how many others lie between. Needs ``is_vertex``. Pointers over
-    words that are no vertices double their reach in each round."""
+    words that are no vertices double their reach in each round, so as many rounds
+    as the number of words has binary digits settle all; what then still
+    moves is caught in a ring of heads without a vertex and has no row."""
     up = cut(tokens.where("head is not null").select("graph", "idx", F.col("head").alias("pred"), F.lit(0).alias("skipped")))
-    over = tokens.where("not is_vertex").select("graph", F.col("idx").alias("pred"))
-    while True:
-        stuck = up.join(over, ["graph", "pred"], "left_semi")
+    over = tokens.where("not is_vertex").select("graph", F.col("idx").alias("pred"), F.lit(True).alias("over"))
+    for _ in range(max(1, tokens.count()).bit_length() + 1):
         hop = up.select("graph", F.col("idx").alias("pred"), F.col("pred").alias("next"), F.col("skipped").alias("more"))
-        moved = stuck.join(hop, ["graph", "pred"]).select("graph", "idx", F.col("next").alias("pred"), (F.col("skipped") + F.col("more") + 1).alias("skipped"))
-        if moved.isEmpty():
-            # what is stuck under a root that is no vertex has no such ancestor
-            done = up.join(over, ["graph", "pred"], "left_anti")
-            return done.join(tokens.where("is_vertex").select("graph", "idx"), ["graph", "idx"], "left_semi")
-        up = cut(up.join(over, ["graph", "pred"], "left_anti").unionByName(moved))
+        met = up.join(over, ["graph", "pred"], "left").join(hop, ["graph", "pred"], "left")
+        stuck = F.col("over").isNotNull()
+        # what is stuck under a root that is no vertex, or at a head without a
+        # row, has no such ancestor
+        stays = met.where(~stuck | F.col("next").isNotNull())
+        moved = stays.select("graph", "idx", F.when(stuck, F.col("next")).otherwise(F.col("pred")).alias("pred"), F.when(stuck, F.col("skipped") + F.col("more") + 1).otherwise(F.col("skipped")).alias("skipped"), stuck.alias("moves"))
+        moved = cut(moved)
+        up = moved.drop("moves")
+        if moved.where("moves").isEmpty():
+            break
+    # pointers that still stand on words that are no vertices go round a ring
+    done = up.join(over, ["graph", "pred"], "left_anti")
+    return done.join(tokens.where("is_vertex").select("graph", "idx"), ["graph", "idx"], "left_semi")
 
 
 def relationships(tokens: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -42,7 +42,7 @@ def shortest_hyperpaths(incidence: DataFrame, starts: DataFrame, max_hops: int =
         frontier = cut(fresh)
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
     found = seen.where("src <> dst").withColumn("length", F.size("path"))
     best = F.min(F.struct("length", "path")).alias("b")
     return found.groupBy("graph", "src", "dst").agg(best).select("graph", "src", "dst", "b.length", "b.path")
@@ -76,7 +76,8 @@ def transitive_closure(arcs: DataFrame) -> DataFrame:
     while not frontier.isEmpty():
         step = frontier.withColumnRenamed("dst", "mid").join(arcs.withColumnRenamed("src", "mid"), "mid").select("src", "dst").where("src <> dst").distinct()
         frontier = cut(step.join(seen, ["src", "dst"], "left_anti"))
-        seen = cut(seen.unionByName(frontier))
+        # each round's rows are written once, and read from where they are
+        seen = seen.unionByName(frontier)
     return seen
 
 
@@ -87,7 +88,7 @@ def ancestors(parents: DataFrame) -> DataFrame:
     out = frontier = cut(nodes.select("node", F.col("node").alias("anc"), F.lit(0).alias("depth")))
     while not frontier.isEmpty():
         frontier = cut(frontier.join(arcs, "anc").select("node", F.col("up").alias("anc"), (F.col("depth") + 1).alias("depth")).join(out, ["node", "anc"], "left_anti"))
-        out = cut(out.unionByName(frontier))
+        out = out.unionByName(frontier)
     return out
 
 
@@ -129,17 +130,27 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def ultimate_roots(heads: DataFrame) -> DataFrame:
-    """(node, root) at the top of each head chain, by pointer jumping."""
-    up = cut(heads.select("node", F.coalesce("parent", "node").alias("root")))
-    while True:
-        step = up.join(up.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    """(node, root) at the top of each head chain, by pointer jumping: pointers
+    double their reach, so as many rounds as the longest chain has binary digits
+    end it. A head that has no row of its own is a top. A chain that runs into a
+    ring has the ring's smallest node as its root."""
+    up = cut(heads.select("node", F.coalesce("parent", "node").alias("root"), F.coalesce("parent", "node").alias("least")))
+    rounds = max(1, up.count()).bit_length()
+    for _ in range(rounds):
+        over = up.select(F.col("node").alias("root"), F.col("root").alias("next"), F.col("least").alias("_least"))
+        step = up.join(over, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.least("least", "_least").alias("least"))
         step = cut(step)
-        if step.join(up.withColumnRenamed("root", "old"), "node").where("root <> old").isEmpty():
-            return step
+        if step.join(up.select("node", F.col("root").alias("old")), "node").where("root <> old").isEmpty():
+            return step.select("node", "root")
         up = step
+    # what still moves circles a ring, and has gone round it: the least node
+    # that the place where it stands can see is the ring's
+    rings = up.select(F.col("node").alias("root"), F.col("root").alias("next"), F.col("least").alias("ring"))
+    return up.join(rings, "root", "left").select("node", F.when(F.col("next").isNull() | (F.col("next") == F.col("root")), F.col("root")).otherwise(F.col("ring")).alias("root"))
 
 
 def unreached_nodes(heads: DataFrame) -> DataFrame:
     """Nodes whose head chain never ends at a root (no parent): a check."""
-    roots = heads.where("parent is null or parent = node").select(F.col("node").alias("anc"))
-    return heads.select("node").distinct().join(ancestors(heads.where("parent is null or parent <> node")).join(roots, "anc").select("node").distinct(), "node", "left_anti")
+    own = heads.select("node", F.when(F.col("parent") != F.col("node"), F.col("parent")).alias("parent"))
+    roots = own.where("parent is null").select(F.col("node").alias("anc"))
+    return own.select("node").distinct().join(ancestors(own).join(roots, "anc").select("node").distinct(), "node", "left_anti")

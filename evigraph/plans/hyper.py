@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import render, vector, vertex
 from ..operators import clusters as C
-from ..operators import graph, match, simulation
+from ..operators import fusion, graph, match, simulation
 from .tables import cut
 
 
@@ -137,3 +137,33 @@ def hypergraph_simulation(query: Side, data: Side, clusters: DataFrame | None =
     on_edge = matched.join(reach, ["instance", "sc"]).select("instance", "edge", "sc", "u", "v")
     edges = query.members.select("instance", "edge", F.col("vertex_id").alias("u"))
     return Simulation(simulation.edge_simulation(allowed, edges, on_edge, strict), pairs, matched)
+
+
+@dataclass(frozen=True)
+class Fusion:
+    """``trace`` (``fusion.reverse_trace``), ``report`` (instance, context), the
+    relation (instance, u, v) over merged vertices, and their lineage (instance,
+    v, vertex_id, source)."""
+
+    trace: DataFrame
+    report: DataFrame
+    relation: DataFrame
+    lineage: DataFrame
+
+
+def fuse(query: Side, evidence: Side, texts: DataFrame, scorer: match.Scorer = match.lexical_entailment, **simulation_settings) -> Fusion:
+    """Evidence of several sources as one graph, simulated and traced back.
+
+    Vertices of both sides also have ents; evidence vertices have a source, and
+    ``texts`` is (instance, source, text). Sources are merged inside their
+    instance, the query is simulated in what comes out, and every critical query
+    vertex is followed through the relation and the lineage to its sources.
+    """
+    vertices = cut(evidence.vertices)
+    links = cut(fusion.instance_links(vertices, scorer))
+    lineage, merged, members = fusion.merge_instances(vertices, evidence.members, links)
+    lineage, merged = cut(lineage), cut(merged)
+    found = hypergraph_simulation(query, Side(merged, cut(members)), **simulation_settings)
+    relation = cut(found.relation)
+    trace = cut(fusion.reverse_trace(query.vertices, relation, merged, lineage, texts))
+    return Fusion(trace, fusion.trace_report(trace, texts), relation, lineage)
