@@ -134,19 +134,19 @@ def ultimate_roots(heads: DataFrame) -> DataFrame:
     double their reach, so as many rounds as the longest chain has binary digits
     end it. A head that has no row of its own is a top. A chain that runs into a
     ring has the ring's smallest node as its root."""
-    up = cut(heads.select("node", F.coalesce("parent", "node").alias("root"), F.coalesce("parent", "node").alias("least")))
-    rounds = max(1, up.count()).bit_length()
-    for _ in range(rounds):
-        over = up.select(F.col("node").alias("root"), F.col("root").alias("next"), F.col("least").alias("_least"))
-        step = up.join(over, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.least("least", "_least").alias("least"))
-        step = cut(step)
-        if step.join(up.select("node", F.col("root").alias("old")), "node").where("root <> old").isEmpty():
-            return step.select("node", "root")
-        up = step
-    # what still moves circles a ring, and has gone round it: the least node
-    # that the place where it stands can see is the ring's
-    rings = up.select(F.col("node").alias("root"), F.col("root").alias("next"), F.col("least").alias("ring"))
-    return up.join(rings, "root", "left").select("node", F.when(F.col("next").isNull() | (F.col("next") == F.col("root")), F.col("root")).otherwise(F.col("ring")).alias("root"))
+    own = F.coalesce("parent", "node")
+    up = cut(heads.select("node", own.alias("root"), own.alias("least"), (own == F.col("node")).alias("done")))
+    for _ in range(max(1, up.count()).bit_length() + 1):
+        if up.where("not done").isEmpty():
+            return up.select("node", "root")
+        over = up.select(F.col("node").alias("root"), F.col("root").alias("next"), F.col("least").alias("_least"), F.col("done").alias("_done"))
+        met, moves = up.join(over, "root", "left"), ~F.col("done") & F.col("next").isNotNull()
+        done = F.col("done") | F.coalesce("_done", F.lit(True))
+        up = cut(met.select("node", F.when(moves, F.col("next")).otherwise(F.col("root")).alias("root"), F.when(moves, F.least("least", "_least")).otherwise(F.col("least")).alias("least"), done.alias("done")))
+    # what still moves circles a ring and has gone round it, so the least that
+    # is seen from where it stands is the ring's
+    rings = up.select(F.col("node").alias("root"), F.col("least").alias("ring"))
+    return up.join(rings, "root", "left").select("node", F.when(F.col("done"), F.col("root")).otherwise(F.col("ring")).alias("root"))
 
 
 def unreached_nodes(heads: DataFrame) -> DataFrame:
