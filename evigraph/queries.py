@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import span_queries, token_queries, vertex_queries
+from . import graph_queries, span_queries, token_queries, vertex_queries
 from .functions import text, vector, vertex
 from .operators import build, fusion, graph, match, metrics, retrieval, simulation
 from .plans import methods
@@ -328,7 +328,7 @@ QUERIES = {f.__name__: f for f in (
     evidence_stats, evidence_conflicts, evidence_coverage, structured_context, supporting_span, chunk_split, record_parse,
     resume_skip, sampling_weights, weighted_mean, tie_adjusted_rank, bounded_simulation, bounded_two_hops, edge_simulation, rule_graph,
     *map(_method, methods.METHODS),
-)} | token_queries.QUERIES | vertex_queries.QUERIES | span_queries.QUERIES
+)} | token_queries.QUERIES | vertex_queries.QUERIES | span_queries.QUERIES | graph_queries.QUERIES
 
 _TREE = "tree AS (SELECT (n_nationkey + 100)::BIGINT AS node, n_regionkey::BIGINT AS parent FROM nation UNION ALL SELECT c_custkey + 1000, (c_nationkey + 100)::BIGINT FROM customer)"
 _NEXT = "n AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
@@ -368,7 +368,7 @@ ORACLE_SQL = {
     "tie_adjusted_rank": "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus DESC, o_orderkey)::INT AS place, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus DESC)::INT AS tie_rank FROM orders",
     "bounded_two_hops": "SELECT DISTINCT 0 AS u, 'c' || c_custkey AS v FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE c_mktsegment = 'BUILDING' AND p_type = 'PROMO' UNION ALL SELECT 1, 'p' || p_partkey FROM part WHERE p_type = 'PROMO'",
     "bounded_simulation": "WITH po AS (SELECT DISTINCT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderpriority = '1-URGENT' AND p_type = 'PROMO'), h AS (SELECT c_nationkey AS slice, count(*) AS hits FROM customer JOIN po ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1) SELECT slice, hits, rank::INT AS rank FROM (SELECT *, rank() OVER (ORDER BY hits DESC) AS rank FROM h) WHERE rank <= 5",
-} | token_queries.ORACLE_SQL | vertex_queries.ORACLE_SQL | span_queries.ORACLE_SQL
+} | token_queries.ORACLE_SQL | vertex_queries.ORACLE_SQL | span_queries.ORACLE_SQL | graph_queries.ORACLE_SQL
 
 _WORD = r"\p{L}\p{N}\p{M}_"
 _ARTICLE = rf"([^{_WORD}]|^)(a|an|the)([^{_WORD}]|$)"
