@@ -38,8 +38,19 @@ LISTED = (
     listed("block", "net", "/es/"),
     listed("block", "net", "/fr/"),
 )
-#: Host names of the method's own pattern rules.
-UNWANTED = tuple(Rule("block", rf"^[^/]*(?:^|[.-]){word}(?:[.-]|/|$)", (word,)) for word in ("casino", "pills", "adult", "porn", "poker", "viagra", "betting", "escort"))
+#: Words of the method's own pattern rules, by what they stand for.
+UNWANTED_WORDS = {
+    "gambling": ("casino", "casinos", "poker", "betting", "sportsbook", "slots", "roulette", "blackjack", "baccarat", "jackpot", "lottery", "bookmaker", "wager", "glücksspiel", "apuestas"),
+    "adult": ("adult", "porn", "porno", "xxx", "sex", "sexcam", "escort", "escorts", "erotic", "erotik", "hentai", "nude", "nudes", "milf", "camgirl", "camgirls", "fetish", "hookup", "webcamsex"),
+    "drugs": ("pills", "viagra", "cialis", "levitra", "xanax", "tramadol", "oxycontin", "steroids", "kamagra", "phentermine"),
+    "piracy": ("warez", "torrent", "torrents", "keygen", "nulled", "cracked", "serialz", "piratebay"),
+    "malware": ("phishing", "malware", "ransomware", "botnet", "exploitkit", "carding", "stealer"),
+    "spam": ("payday", "payday-loans", "forex-signals", "get-rich", "free-money", "essay-writing", "buy-followers", "cheap-replica", "weight-loss-pills", "work-from-home"),
+    "farms": ("doorway", "linkfarm", "backlinks", "spamdexing", "autoblog", "parked-domain", "domain-for-sale"),
+}
+#: A word stands alone between marks, in the host or in the path, in either case.
+WORD_RULE = r"(?:^|[/._-]){}(?:[/._-]|$)"
+UNWANTED = tuple(Rule("block", "(?i)" + WORD_RULE.format(re.escape(word)), tuple(re.findall("[a-z0-9]+", word))) for words in UNWANTED_WORDS.values() for word in words)
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -85,7 +96,8 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = (*LISTED, *UNWANTED),
 
 
 #: DuckDB SQL for the query over ``pages``.
-SQL = r"""
+SQL = (
+    r"""
 WITH s AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
@@ -96,5 +108,6 @@ r AS (SELECT *, CASE
   WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
   WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM p)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN regexp_matches(host, '(^|[.-])(casino|pills|adult|porn|poker|viagra|betting|escort)([.-]|$)') THEN 'block' ELSE 'allow' END AS verdict FROM r
+  WHEN regexp_matches(host || path, '(?i)(^|[/._-])(WORDS)([/._-]|$)') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
+).replace("WORDS", "|".join(word for words in UNWANTED_WORDS.values() for word in words))
