@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import vertex
-from .operators import fusion, fuzzy, graph, hierarchy, match, simulation, token_paths
+from .operators import fusion, fuzzy, graph, hierarchy, match, mentions, simulation, token_paths
 
 
 def _t(s, d, name, *columns):
@@ -83,7 +83,7 @@ def fusion_reports(s, d):
 
 def _words(s, d):
     turns = _t(s, d, "conversations", "conv_id", "turn", "text")
-    split = turns.select(F.col("conv_id").alias("graph"), "turn", F.posexplode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("n", "text"))
+    split = turns.select(F.col("conv_id").alias("graph"), "turn", F.posexplode(F.split(F.lower("text"), "[^a-z]+")).alias("n", "text"))
     return split.where("length(text) >= 3")
 
 
@@ -190,7 +190,36 @@ def refined_slices(s, d):
     return match.refine_slices(slices, answers).select("instance", "slice", "v")
 
 
+def _numbered(s, d):
+    """(graph, n, part, supp): an order's different lines, counted."""
+    lines = _t(s, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"))
+    return lines.select(F.col("l_orderkey").alias("graph"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")).cast("long").alias("n"), "part", "supp")
+
+
+def updated_mentions(s, d):
+    """Lines are tokens of ten places, some with a gap; mentions begin in them."""
+    lines, n = _numbered(s, d), F.col("n")
+    tokens = lines.select("graph", n.alias("idx"), (n * 10).alias("char_start"), (n * 10 + 3 + F.col("part") % 8).alias("char_end"))
+    begin = n * 10 + F.col("part") % 5
+    ranges = lines.select("graph", (F.col("supp") % 2).alias("cluster"), begin.alias("char_start"), (begin + F.col("supp") % 25 + 1).alias("char_end"), (F.col("part") % 3 == 0).alias("primary"))
+    return mentions.updated_mentions(ranges, tokens).select("graph", "cluster", "start", "end", "primary")
+
+
+def dropped_clusters(s, d):
+    lines, n = _numbered(s, d), F.col("n")
+    held = lines.select("graph", (F.col("supp") % 4).alias("cluster"), n.alias("start"), (n + F.col("part") % 5 + 1).alias("end"), F.floor(n / 2).alias("root"))
+    return mentions.dropped_clusters(held).select("graph", "cluster")
+
+
+def span_containment(s, d):
+    """A customer's orders are spans that nest and cross."""
+    start = F.col("o_orderkey") % 97
+    held = _t(s, d, "orders", "o_custkey", "o_orderkey").select(F.col("o_custkey").alias("graph"), start.alias("start"), (start + F.col("o_orderkey") % 13 * 3 + 1).alias("end"))
+    return mentions.containment(held).select("graph", "start", "end", "outer_start", "outer_end", "crossing")
+
+
 QUERIES = {f.__name__: f for f in (
+    updated_mentions, dropped_clusters, span_containment,
     token_paths_across_groups, fusion_trace, fusion_full_support, fusion_members, fusion_reports, near_words, near_word_ids, concepts_below, domain_matches,
     roots_over_rings, unreached_nodes, common_prefixes, hyperpaths_of_one_source, simple_paths, pruned_pairs, refined_slices,
 )}
@@ -212,7 +241,14 @@ _UP = f"{_ARCS}, u AS (SELECT p_partkey AS c, p_partkey AS anc FROM part UNION S
 _RINGS = "r AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 50 = 7 THEN p_partkey + 1 WHEN p_partkey % 50 = 8 THEN p_partkey - 1 WHEN p_partkey >= 3 THEN p_partkey // 3 END AS parent FROM part)"
 _NATION_EDGES = "e AS (SELECT c_nationkey AS src, c_custkey + 1000 AS dst, o_orderkey AS edge, o_orderstatus AS source FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 10 = 0)"
 
+_NUMBERED = "l AS (SELECT l_orderkey AS graph, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n, part, supp FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part, min(l_suppkey) AS supp FROM lineitem GROUP BY 1, 2))"
+
 ORACLE_SQL = {
+    "updated_mentions": f"WITH {_NUMBERED}, t AS (SELECT graph, n AS idx, n * 10 AS s, n * 10 + 3 + part % 8 AS e FROM l), r AS (SELECT graph, supp % 2 AS cluster, n * 10 + part % 5 AS s, n * 10 + part % 5 + supp % 25 + 1 AS e, part % 3 = 0 AS p FROM l) "
+    'SELECT r.graph, r.cluster, a.idx AS start, b.idx + 1 AS "end", bool_or(r.p) AS "primary" FROM r JOIN t a ON a.graph = r.graph AND a.s <= r.s AND r.s < a.e JOIN t b ON b.graph = r.graph AND b.s < r.e AND r.e <= b.e GROUP BY 1, 2, 3, 4',
+    "dropped_clusters": f"WITH {_NUMBERED}, m AS (SELECT graph, supp % 4 AS cluster, n // 2 AS root, part % 5 + 1 AS len FROM l), b AS (SELECT *, first_value(cluster) OVER (PARTITION BY graph, root ORDER BY len, cluster) AS best FROM m) SELECT DISTINCT graph, cluster FROM b WHERE cluster <> best",
+    "span_containment": 'WITH o AS (SELECT DISTINCT o_custkey AS graph, o_orderkey % 97 AS s, o_orderkey % 97 + o_orderkey % 13 * 3 + 1 AS e FROM orders), p AS (SELECT a.*, b.s AS bs, b.e AS be, b.s <= a.s AND a.e <= b.e AS h, a.s <= b.s AND b.e <= a.e AS i FROM o a JOIN o b ON a.graph = b.graph AND (a.s <> b.s OR a.e <> b.e) AND b.s < a.e AND a.s < b.e), '
+    "g AS (SELECT graph, s, e, min({'n': be - bs, 's': bs, 'e': be}) FILTER (h) AS m, bool_or(NOT h AND NOT i) AS c FROM p GROUP BY 1, 2, 3) SELECT o.graph, o.s AS start, o.e AS \"end\", m.s AS outer_start, m.e AS outer_end, coalesce(c, false) AS crossing FROM o LEFT JOIN g USING (graph, s, e)",
     "token_paths_across_groups": f"WITH RECURSIVE {_LINES}, b AS (SELECT graph, o, max(n) AS n, row_number() OVER (PARTITION BY graph ORDER BY o) AS k FROM l GROUP BY 1, 2), "
     "w AS (SELECT graph, o, k, n FROM b UNION ALL SELECT graph, o, k, n // 2 FROM w WHERE n > 1), "
     "c AS (SELECT graph, count(*) AS m FROM b GROUP BY 1) "
@@ -222,7 +258,7 @@ ORACLE_SQL = {
     "fusion_members": f"WITH {_FUSED}, d AS (SELECT i, x // 2 AS edge, merged, min(x % 2) AS spot FROM m GROUP BY 1, 2, 3) SELECT i AS instance, edge, row_number() OVER (PARTITION BY i, edge ORDER BY spot) - 1 AS pos, merged AS vertex_id FROM d",
     "fusion_reports": f"WITH {_FUSED}, x AS (SELECT instance, query_text, max(matched::INT) AS hit FROM t GROUP BY 1, 2), y AS (SELECT instance, sum(hit) AS covered, count(*) AS total, count(*) - sum(hit) AS missing FROM x GROUP BY 1), z AS (SELECT instance, count(*) AS n FROM t WHERE matched GROUP BY 1), h AS (SELECT i AS instance, count(*) AS n FROM s GROUP BY 1) "
     "SELECT y.instance, 'covered ' || covered || ' of ' || total AS coverage, coalesce(h.n, 0)::BIGINT AS n_evidence, (coalesce(z.n, 0) + missing)::BIGINT AS n_lines FROM y LEFT JOIN z USING (instance) LEFT JOIN h USING (instance)",
-    "near_words": r"WITH w AS (SELECT DISTINCT conv_id AS graph, unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS text FROM conversations), l AS (SELECT * FROM w WHERE length(text) >= 9) SELECT x.graph, x.text AS a, y.text AS b, round(100 * (1 - levenshtein(x.text, y.text) / greatest(length(x.text), length(y.text))::DOUBLE), 6) AS score FROM l x JOIN l y ON x.graph = y.graph AND x.text < y.text AND abs(length(x.text) - length(y.text)) * 10 <= greatest(length(x.text), length(y.text)) WHERE levenshtein(x.text, y.text) * 10 <= greatest(length(x.text), length(y.text))",
+    "near_words": r"WITH w AS (SELECT DISTINCT conv_id AS graph, unnest(string_split_regex(lower(text), '[^a-z]+')) AS text FROM conversations), l AS (SELECT * FROM w WHERE length(text) >= 9) SELECT x.graph, x.text AS a, y.text AS b, round(100 * (1 - levenshtein(x.text, y.text) / greatest(length(x.text), length(y.text))::DOUBLE), 6) AS score FROM l x JOIN l y ON x.graph = y.graph AND x.text < y.text AND abs(length(x.text) - length(y.text)) * 10 <= greatest(length(x.text), length(y.text)) WHERE levenshtein(x.text, y.text) * 10 <= greatest(length(x.text), length(y.text))",
     "concepts_below": f"WITH RECURSIVE {_UP} SELECT p_partkey AS a, p_partkey // 4 AS b, EXISTS (SELECT 1 FROM u WHERE u.c = p_partkey AND u.anc = p_partkey // 4) AS below FROM part",
     "domain_matches": f"WITH RECURSIVE {_UP}, h AS (SELECT o_custkey AS x, o_orderkey % 2300 AS c FROM orders WHERE o_orderkey % 5 = 0), k AS (SELECT DISTINCT x FROM h JOIN part ON p_partkey = c), g AS (SELECT DISTINCT h.x, u.anc FROM h JOIN u USING (c) WHERE u.anc >= 9) "
     "SELECT c_custkey AS a, c_custkey + 1 AS b, CASE WHEN c_custkey IN (SELECT x FROM k) AND c_custkey + 1 IN (SELECT x FROM k) THEN EXISTS (SELECT 1 FROM g p JOIN g q ON p.anc = q.anc WHERE p.x = c_custkey AND q.x = c_custkey + 1) END AS match FROM customer",

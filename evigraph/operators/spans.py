@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import vertex
 from ..plans.tables import cut
+from .mentions import CHARS, buckets
 
 #: Dependencies that a phrase takes in on its left and right.
 NOUN_LEFT, NOUN_RIGHT = ("advmod", "neg", "nummod", "quantmod", "npadvmod", "compound"), ("case", "advmod", "neg", "nummod", "quantmod", "npadvmod")
@@ -141,7 +142,9 @@ def tokens_of_chars(spans: DataFrame, tokens: DataFrame) -> DataFrame:
     """(graph, span, start, end): the tokens (graph, idx, char_start, char_end)
     that the character spans (graph, span, char_start, char_end) touch."""
     at = tokens.select("graph", "idx", F.col("char_start").alias("_s"), F.col("char_end").alias("_e"))
-    met = spans.join(at, "graph").where((F.col("_s") < F.col("char_end")) & (F.col("char_start") < F.col("_e")))
+    at = at.withColumn("_bucket", F.explode(buckets(F.col("_s"), F.col("_e"), CHARS)))
+    asked = spans.withColumn("_bucket", F.explode(buckets(F.col("char_start"), F.col("char_end"), CHARS)))
+    met = asked.join(at, ["graph", "_bucket"]).where((F.col("_s") < F.col("char_end")) & (F.col("char_start") < F.col("_e")))
     return met.groupBy("graph", "span").agg(F.min("idx").alias("start"), (F.max("idx") + 1).alias("end"))
 
 
