@@ -146,3 +146,23 @@ def match_confidence(text_a: Column, text_b: Column, ents_a: Column, ents_b: Col
     """.5 for equal texts, .3 for a shared entity, .2 for a shared part of speech."""
     part = lambda condition, weight: F.when(condition, weight).otherwise(0.0)
     return part(F.trim(text_a) == F.trim(text_b), 0.5) + part(shared(ents_a, ents_b), 0.3) + part(shared(poses_a, poses_b), 0.2)
+
+
+#: Dependencies that may stand for each other.
+ROLES = (("nsubj", "nsubjpass", "csubj", "agent"), ("dobj", "iobj", "pobj", "attr"), ("amod", "nmod", "advmod", "appos"), ("nmod", "dobj"))
+
+
+def roles_compatible(dep_a: Column, dep_b: Column) -> Column:
+    """If two dependencies have one role: subject, object, modifier, or a modifier
+    of nouns and a direct object. False for others and for null."""
+    out = F.lit(False)
+    for role in ROLES:
+        out = out | (dep_a.isin(*role) & dep_b.isin(*role))
+    return F.coalesce(out, F.lit(False))
+
+
+def legal(label: Column, domain: Column, dep_a: Column, dep_b: Column) -> Column:
+    """If two vertices may stand for each other: their texts entail, or are neutral
+    in one domain (unknown is none), and their roles are compatible."""
+    meaning = (label == "entailment") | ((label == "neutral") & F.coalesce(domain, F.lit(False)))
+    return F.coalesce(meaning, F.lit(False)) & roles_compatible(dep_a, dep_b)

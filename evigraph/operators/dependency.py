@@ -25,6 +25,8 @@ VERTEX_POS = ("NOUN", "PROPN", "VERB", "AUX", "ADJ", "NUM", "PRON", "ADV")
 QUANTIFIERS = ("many", "much", "few", "little", "long", "often", "far")
 #: Question words and what they ask for.
 PRONOUNS = {"which": "WHICH", "what": "WHAT", "who": "PERSON", "whom": "PERSON"}
+#: What asks without a type of its own, by word and by tag.
+UNTYPED, ASKING_TAGS = ("whose",), ("WP", "WP$")
 ADVERBS = {"when": "TIME", "where": "LOCATION", "why": "REASON"}
 
 
@@ -103,8 +105,9 @@ def _one_of(word: Column, table: dict[str, str]) -> Column:
 
 
 def mark_vertices(tokens: DataFrame, is_query: bool = False) -> DataFrame:
-    """Adds ``is_vertex`` and, for questions, ``query_type``. Needs
-    ``antecedent``. A vertex is a root, an entity, or a content word; white
+    """Adds ``is_vertex`` and, for questions, ``query_type`` and ``is_query``, which
+    also marks pronouns that ask without a type: "whose", and by ``tag``, where the
+    tokens have one, WP and WP$. Needs ``antecedent``. A vertex is a root, an entity, or a content word; white
     space and punctuation are none, nor are determiners that are entities, or
     auxiliaries without children. In questions, who, what, when and so on are
     vertices that ask for a type."""
@@ -117,7 +120,7 @@ def mark_vertices(tokens: DataFrame, is_query: bool = False) -> DataFrame:
     content = F.col("head").isNull() | entity | pos.isin(*VERTEX_POS)
     bare = (pos == "AUX") & F.col("_children").isNull()
     plain = content & ~(entity & pos.isin("DET", "PART", "PUNCT")) & ~bare
-    asked = F.lit(None).cast("string")
+    asked, asks = F.lit(None).cast("string"), F.lit(False)
     kept = F.when(blank, F.lit(False)).otherwise(plain)
     if is_query:
         helper = ((pos == "AUX") & (F.col("dep") == "aux") & (F.col("head_pos") == "VERB")) | ((pos == "PRON") & (F.col("dep") == "det"))
@@ -130,8 +133,10 @@ def mark_vertices(tokens: DataFrame, is_query: bool = False) -> DataFrame:
         place = F.when(adverb, _one_of(low, ADVERBS))
         asked = F.coalesce(place, F.when(whose, "BELONGS"), F.when((pos == "PRON") & F.col("antecedent").isNull(), _one_of(low, PRONOUNS)), F.when(quantity, "NUMBER").when(quality, "ATTRIBUTE"))
         asked = F.when(~blank & ~helper, asked)
+        tagged = F.coalesce(F.col("tag").isin(*ASKING_TAGS), F.lit(False)) if "tag" in tokens.columns else F.lit(False)
+        asks = asked.isNotNull() | (~blank & ~helper & (pos == "PRON") & F.col("antecedent").isNull() & (low.isin(*UNTYPED) | tagged))
         kept = F.when(blank | helper, F.lit(False)).otherwise(place.isNotNull() | whose | plain)
-    return staged.select(*tokens.columns, F.coalesce(kept, F.lit(False)).alias("is_vertex"), asked.alias("query_type"))
+    return staged.select(*tokens.columns, F.coalesce(kept, F.lit(False)).alias("is_vertex"), asked.alias("query_type"), asks.alias("is_query"))
 
 
 def compress_dependencies(tokens: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -136,6 +138,23 @@ def suffix_number(name: Column) -> Column:
     return F.coalesce(F.regexp_extract(name, r"(\d+)(?:\.[^.]*)?$", 1).try_cast("bigint"), F.lit(10**9).cast("bigint"))
 
 
-def index_numbers(n: int, count: int) -> list[int]:
-    """``count`` places spread evenly over 0..n-1, from 0; all if there are fewer."""
-    return list(range(n)) if count >= n else [i * n // count for i in range(count)]
+def index_numbers(n: int, count: int, mode: str = "even", seed: int = 0) -> list[int]:
+    """``count`` different places of 0..n-1, all if there are fewer: "even" spread
+    from 0, "top" the first ones, "normal" most of them near 0, drawn as the size of
+    a normal number, the next free place where one is taken."""
+    if count >= n:
+        return list(range(n))
+    if mode == "even":
+        return [i * n // count for i in range(count)]
+    if mode == "top":
+        return list(range(count))
+    if mode != "normal":
+        raise ValueError(f"no mode {mode!r}; there are even, top and normal")
+    draw, found = random.Random(seed), set()
+    while len(found) < count:
+        place = int(abs(draw.gauss(0, 1)))
+        while place in found:
+            place += 1
+        if place < n:
+            found.add(place)
+    return sorted(found)
