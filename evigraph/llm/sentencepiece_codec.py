@@ -291,7 +291,9 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     front and spaces are written as U+2581; other normalisation than identity
     is not applied. Characters without a piece become byte pieces, or the
     unknown id. Null and empty texts have no ids. Rows are encoded where they
-    are read, without a shuffle; repeated rows repeat.
+    are read, without a shuffle; repeated rows repeat, and ids may tie or be
+    null. A text of any length is encoded whole, its words in batches. An empty
+    table gives no rows; other columns are not read.
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +335,8 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
 
 def round_trip_documents(docs: DataFrame, model: str) -> DataFrame:
     """``decode_documents(encode_documents(docs))`` in one Python worker, so
-    that ids do not pass through the JVM in between."""
+    that ids do not pass through the JVM in between. Nulls, empty and long texts,
+    repeated rows, empty tables and other columns are as there."""
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

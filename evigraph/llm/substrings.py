@@ -95,16 +95,19 @@ def dedup_substrings(docs: DataFrame, window: int = 35) -> DataFrame:
     chunks, buckets = max(8, -(-rows // CHUNK_DOCS), -(-held // CHUNK_BYTES)), max(16, -(-rows // BUCKET_DOCS), -(-held // BUCKET_BYTES))
     dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"))
 
-    def owner(unique: np.ndarray) -> np.ndarray:
-        return np.searchsorted(((unique >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
+    def owners(unique: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets that some of the sorted hashes fall into, and where each
+        begins; the last entry is the end."""
+        full, begin = np.unique(((unique >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), return_index=True)
+        return full.astype(np.int64), np.append(begin, len(unique))
 
     def send(table: pa.Table) -> pa.Table:
         _, words = _chunk(table)
         unique = np.unique(window_hashes(words, window)[0])
-        at = owner(unique).tolist()
-        full = [b for b in range(buckets) if at[b] < at[b + 1]]
+        full, at = owners(unique)
         chunk = table.column("chunk")[0].as_py()
-        return pa.table({"bucket": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int32()), "hashes": pa.array([unique[at[b] : at[b + 1]].tobytes() for b in full], pa.binary())})
+        parts = [unique[s:e].tobytes() for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return pa.table({"bucket": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int32()), "hashes": pa.array(parts, pa.binary())})
 
     def count(table: pa.Table) -> pa.Table:
         sent = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
@@ -124,9 +127,9 @@ def dedup_substrings(docs: DataFrame, window: int = 35) -> DataFrame:
         doc_ids, words = _chunk(table)
         hashes, begin = window_hashes(words, window)
         unique, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
-        gone, at = times > 1, owner(unique)
+        gone, (full, at) = times > 1, owners(unique)
         for bucket, places in zip(answers.column("bucket").to_pylist(), answers.column("places"), strict=True):
-            gone[at[bucket] + np.frombuffer(places.as_buffer(), np.uint32).astype(np.int64)] = True
+            gone[at[np.searchsorted(full, bucket)] + np.frombuffer(places.as_buffer(), np.uint32).astype(np.int64)] = True
         begin = begin[gone[which]]
         edge = np.zeros(len(words.start) + 1, np.int64)
         np.add.at(edge, begin, 1)

@@ -137,7 +137,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, segment_ids:
     ``part_start`` counts the ids before a segment in its part. Null and empty
     texts have the end id alone; a null doc_id sorts first; rows that share a
     doc_id stand next to each other, by text. A text of any length is one entry of one
-    segment. An empty table gives no segments. Only the two columns are read, whatever else the table holds.
+    segment. An empty table gives no segments, which read back as no rows. Only the two columns are read, whatever else the table holds.
     """
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +173,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, segment_ids:
 def read_token_files(files: DataFrame) -> DataFrame:
     """Decodes segments: (doc_id, start, n_tokens, ids_crc32) per document.
 
-    ``start`` counts the ids of all documents before it. The totals of the
+    ``start`` counts the ids of all documents before it; null doc_ids come first,
+    rows of one doc_id are documents of their own, and a null or empty text has
+    its end id. No segments give no rows. The totals of the
     parts (one short row each, as many as the writer had tasks) are summed in
     order and sent to every reader.
     """
