@@ -109,4 +109,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_lines, op3_token_files, op4_quality, op5_substrings, op6_packing, op7_simhash, op8_secrets, op9_urls, op10_neighbours, op11_codes, op12_personal, op13_middle, pipeline)}
-ORACLE_SQL = {"op4_quality": quality.SQL, "op9_urls": urls.SQL}
+ORACLE_SQL = {"op4_quality": quality.SQL, "op9_urls": urls.SQL, "op13_middle": middle.SQL}

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +30,9 @@ def test_query_equals_brute_force(spark, sf_dir):
     got = sorted(map(tuple, queries.op13_middle(spark, sf_dir).collect()))
     assert got == sorted(brute(*d) for d in docs)
     assert {g[2] for g in got} == {"plain", "psm", "spm"}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    assert sorted(con.sql(middle.SQL).fetchall()) == got
 
 
 def test_odd_rows(spark):
