@@ -206,13 +206,14 @@ def vertex_ids(tokens: DataFrame) -> DataFrame:
 def current_nodes(edges: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
     """(graph, edge, vertex_id, idx): the token by which a vertex stands in an
     edge. First those of the edge's source and within its places, then of its
-    source, then within its places, then any; the earliest of equals."""
+    source, then within its places, then any; the earliest of equals. A minimum
+    for each rank is a number, so that rows are hashed and not sorted."""
     met = members.select("graph", "edge", "vertex_id").distinct().join(edges.select("graph", "edge", "start", "end", F.col("source").alias("_source")), ["graph", "edge"]).join(nodes.select("graph", "vertex_id", "idx", "source"), ["graph", "vertex_id"])
     near = (F.col("idx") >= F.col("start")) & (F.col("idx") < F.col("end"))
     same = F.coalesce(F.col("source") == F.col("_source"), F.lit(False))
     rank = F.when(same & near, 0).when(same, 1).when(near, 2).otherwise(3)
-    best = F.min(F.struct(rank.alias("r"), "idx")).alias("m")
-    return met.groupBy("graph", "edge", "vertex_id").agg(best).select("graph", "edge", "vertex_id", "m.idx")
+    best = met.select("graph", "edge", "vertex_id", "idx", rank.alias("r")).groupBy("graph", "edge", "vertex_id").agg(*[F.min(F.when(F.col("r") == r, F.col("idx"))).alias(f"_{r}") for r in range(4)])
+    return best.select("graph", "edge", "vertex_id", F.coalesce(*[f"_{r}" for r in range(4)]).alias("idx"))
 
 
 def no_link(is_root_a: Column, is_root_b: Column, dep_a: Column, dep_b: Column) -> Column:
