@@ -5,16 +5,15 @@ the path from a root over smallest parents. What hangs below a concept on that
 tree begins with its label; what hangs below it on other arcs is noted as
 further labels that it covers. So one concept is below another if its label
 begins with one that the other covers, and no arcs are walked to find out.
+Joins of what grows with the arcs are shuffled: a broadcast passes the driver whole.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import cut
+from ..plans.tables import Rounds, cut
 
 
 def concept_labels(arcs: DataFrame) -> DataFrame:
@@ -22,13 +21,12 @@ def concept_labels(arcs: DataFrame) -> DataFrame:
     smallest parents go round a ring have none. A round labels one level."""
     arcs = arcs.select("child", "parent").where("child is not null and parent is not null and child <> parent").distinct()
     children = arcs.groupBy(F.col("child").alias("concept")).agg(F.min("parent").alias("parent"))
-    roots = arcs.select(F.col("parent").alias("concept")).distinct().join(children, "concept", "left_anti")
-    front, rounds = cut(roots.select("concept", F.array("concept").alias("label"))), []
-    children = cut(children)
+    roots = arcs.select(F.col("parent").alias("concept")).distinct().join(children.hint("merge"), "concept", "left_anti")
+    children, rounds = cut(children), Rounds(arcs.sparkSession)
+    front = rounds.add(roots.select("concept", F.array("concept").alias("label")))
     while not front.isEmpty():
-        rounds.append(front)
-        front = cut(children.join(front.withColumnRenamed("concept", "parent"), "parent").select("concept", F.concat("label", F.array("concept")).alias("label")))
-    return reduce(DataFrame.unionByName, rounds) if rounds else front
+        front = rounds.add(children.join(front.withColumnRenamed("concept", "parent").hint("merge"), "parent").select("concept", F.concat("label", F.array("concept")).alias("label")))
+    return rounds.all()
 
 
 def begins_with(label, cover):
@@ -42,21 +40,21 @@ def covered_labels(arcs: DataFrame, labels: DataFrame) -> DataFrame:
     stop where they are covered already."""
     arcs = arcs.select("child", "parent").distinct()
     own = labels.select(F.col("concept").alias("parent"), F.col("label").alias("up"))
-    side = cut(arcs.join(labels.withColumnRenamed("concept", "child"), "child").join(own, "parent").where(~begins_with(F.col("label"), F.col("up"))).select(F.col("parent").alias("concept"), F.col("label").alias("cover")).distinct())
-    rounds = [labels.select("concept", F.col("label").alias("cover"))]
+    side, rounds = arcs.join(labels.withColumnRenamed("concept", "child").hint("merge"), "child").join(own.hint("merge"), "parent"), Rounds(arcs.sparkSession)
+    rounds.add(labels.select("concept", F.col("label").alias("cover")))
+    side = rounds.add(side.where(~begins_with(F.col("label"), F.col("up"))).select(F.col("parent").alias("concept"), F.col("label").alias("cover")).distinct())
     while not side.isEmpty():
-        rounds.append(side)
-        climbed = side.withColumnRenamed("concept", "child").join(arcs, "child").join(own, "parent").where(~begins_with(F.col("cover"), F.col("up"))).select(F.col("parent").alias("concept"), "cover").distinct()
-        side = cut(climbed.join(reduce(DataFrame.unionByName, rounds), ["concept", "cover"], "left_anti"))
-    return reduce(DataFrame.unionByName, rounds)
+        climbed = side.withColumnRenamed("concept", "child").join(arcs.hint("merge"), "child").join(own.hint("merge"), "parent").where(~begins_with(F.col("cover"), F.col("up"))).select(F.col("parent").alias("concept"), "cover").distinct()
+        side = rounds.add(climbed.join(rounds.all().hint("merge"), ["concept", "cover"], "left_anti"))
+    return rounds.all()
 
 
 def below(pairs: DataFrame, labels: DataFrame, covers: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with ``below``: if a is b or hangs below it; null if one
     of them has no label."""
-    named = pairs.join(labels.select(F.col("concept").alias("a"), F.col("label").alias("_label")), "a", "left")
+    named = pairs.join(labels.select(F.col("concept").alias("a"), F.col("label").alias("_label")).hint("merge"), "a", "left")
     over = covers.groupBy(F.col("concept").alias("b")).agg(F.collect_list("cover").alias("_covers"))
-    met = named.join(over, "b", "left")
+    met = named.join(over.hint("merge"), "b", "left")
     found = F.when(F.col("_label").isNotNull() & F.col("_covers").isNotNull(), F.exists("_covers", lambda c: begins_with(F.col("_label"), c)))
     return met.select("a", "b", found.alias("below"))
 
@@ -67,15 +65,15 @@ def concept_domains(arcs: DataFrame, tops: DataFrame) -> DataFrame:
     domain too. Two concepts share an ancestor besides the tops if and only if
     they share a domain; a top has none. Labels and their beginnings meet by equality."""
     arcs = cut(arcs.select("child", "parent").where("child is not null and parent is not null and child <> parent").distinct())
-    labels = cut(concept_labels(arcs))
-    covers = cut(covered_labels(arcs, labels))
+    labels = concept_labels(arcs)
+    covers = covered_labels(arcs, labels)
     high = F.coalesce("_top", F.lit(False))
     marked = tops.select(F.col("concept").alias("parent"), F.lit(True).alias("_top")).distinct()
     low = arcs.join(marked, "parent", "left").where(~high).select(F.col("child").alias("concept")).distinct()
-    domains = labels.select("concept").join(tops.select("concept").distinct(), "concept", "left_anti").join(low, "concept", "left_anti")
-    held = domains.join(covers, "concept").select(F.col("concept").alias("domain"), F.col("cover").alias("begin"))
+    domains = labels.select("concept").join(tops.select("concept").distinct(), "concept", "left_anti").join(low.hint("merge"), "concept", "left_anti")
+    held = domains.join(covers.hint("merge"), "concept").select(F.col("concept").alias("domain"), F.col("cover").alias("begin"))
     begins = labels.select("concept", F.explode(F.transform("label", lambda x, i: F.slice("label", F.lit(1), i + 1))).alias("begin"))
-    return begins.join(held, "begin", "left").groupBy("concept").agg(F.array_sort(F.collect_set("domain")).alias("domains"))
+    return begins.join(held.hint("merge"), "begin", "left").groupBy("concept").agg(F.array_sort(F.collect_set("domain")).alias("domains"))
 
 
 def domain_matches(pairs: DataFrame, held: DataFrame, domains: DataFrame, abstractions: DataFrame | None = None) -> DataFrame:
@@ -86,9 +84,9 @@ def domain_matches(pairs: DataFrame, held: DataFrame, domains: DataFrame, abstra
     if they share a domain, false if they share none, null if one of them has
     only concepts outside the hierarchy, or none.
     """
-    of = held.join(domains, "concept", "left").groupBy("vertex").agg(F.count("domains").alias("known"), F.array_distinct(F.flatten(F.collect_list("domains"))).alias("domains"))
+    of = held.join(domains.hint("merge"), "concept", "left").groupBy("vertex").agg(F.count("domains").alias("known"), F.array_distinct(F.flatten(F.collect_list("domains"))).alias("domains"))
     # who has tops alone is known, but has no domain
-    side = lambda n: of.where("known > 0").select(F.col("vertex").alias(n), F.col("domains").alias(f"{n}_domains"))
+    side = lambda n: of.where("known > 0").select(F.col("vertex").alias(n), F.col("domains").alias(f"{n}_domains")).hint("merge")
     met = pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
     found = F.arrays_overlap("a_domains", "b_domains")
     if abstractions is not None:
