@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vertex
+from ..plans.tables import saved
 from . import graph
 from .match import Scorer, lexical_entailment, word_overlap_pairs
 
@@ -37,8 +38,10 @@ def instance_links(vertices: DataFrame, scorer: Scorer = lexical_entailment, lea
     first = vertices.groupBy("instance", F.trim("text").alias("t")).agg(F.min("vertex_id").alias("a"), F.count_distinct("source").alias("n")).where("n > 1 and t <> ''")
     same = vertices.withColumn("t", F.trim("text")).join(first, ["instance", "t"]).where("a <> vertex_id").select("instance", "a", F.col("vertex_id").alias("b"))
     keyed = vertices.where("length(trim(text)) >= 4")
-    pairs = word_overlap_pairs(keyed, keyed).where("u < v")
-    side = lambda n: vertices.select("instance", F.col("vertex_id").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("source", "text", "ents", "poses")])
+    pairs = saved(word_overlap_pairs(keyed, keyed).where("u < v"))
+    if pairs.isEmpty():
+        return same.distinct()
+    side = lambda n: keyed.select("instance", F.col("vertex_id").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("source", "text", "ents", "poses")])
     both = pairs.join(side("u"), ["instance", "u"]).join(side("v"), ["instance", "v"]).where("u_source <> v_source")
     return same.union(both.where(_fit(scorer, least)).select("instance", "u", "v")).distinct()
 
@@ -56,7 +59,7 @@ def merge_instances(vertices: DataFrame, members: DataFrame, links: DataFrame) -
     """
     key = lambda c: F.struct("instance", F.col(c).alias("id"))
     comp = graph.components(links.select(key("a").alias("a"), key("b").alias("b"))).select("id.instance", F.col("id.id").alias("vertex_id"), F.col("component.id").alias("v"))
-    mapped = vertices.join(comp, ["instance", "vertex_id"], "left").withColumn("v", F.coalesce("v", "vertex_id"))
+    mapped = saved(vertices.join(comp, ["instance", "vertex_id"], "left").withColumn("v", F.coalesce("v", "vertex_id")))
     best = F.max_by(F.struct("type"), F.struct(vertex.level(F.col("type")), -F.col("vertex_id")))
     every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
     merged = mapped.groupBy("instance", F.col("v").alias("vertex_id")).agg(F.min_by("text", "vertex_id").alias("text"), best["type"].alias("type"), every("ents"), every("poses"), F.bool_and("virtual").alias("virtual"), F.lit(None).cast("string").alias("query_type"))
