@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, Words, connected_components, small, stored
-from .lines import candidate_pairs, sized_id
+from .lines import candidates, rest_pairs, sized_id
 from .substrings import cut
 
 SEED = 42
@@ -201,13 +201,26 @@ def _shingled(texts: DataFrame, shingle: int) -> DataFrame:
     return staged.select("*", F.array_join("_words", " ").alias("norm"), n.alias("n_words"), F.when(n >= shingle, runs).otherwise(whole).alias("shingles")).drop("_words", "_h")
 
 
+def print_pairs(named: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of ids in ``named(fp, id)``: those of one
+    fingerprint with its smallest id, and the smallest ids of linked ones."""
+    named = stored(named.distinct(), "near_fingerprints")
+    low = stored(named.groupBy("fp").agg(F.min("id").alias("low")), "near_fingerprints")
+    of = lambda c: low.select(F.col("fp").alias(c), F.col("low").alias(f"{c}_low"))
+    linked = links(low.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.least("a_low", "b_low").alias("a"), F.greatest("a_low", "b_low").alias("b"))
+    return named.join(low, "fp").select(F.col("low").alias("a"), F.col("id").alias("b")).union(linked).where("a < b").distinct()
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near copies in ``docs``, with all its columns.
 
     Linked are texts whose sets of word shingles have a Jaccard similarity of
-    ``similarity`` or more, verified, if they share one of their ``SMALLEST``
-    least shingle hashes (see ``lines.candidate_pairs``); at 0.8 all differ with a
-    probability of 0.2 ** SMALLEST. The row with the smallest doc_id stays (null
+    ``similarity`` or more, verified, if the SimHash fingerprints of their
+    shingles are equal or linked by operator 7's search (``links``), or if they
+    share one of their ``SMALLEST`` least shingle hashes (see
+    ``lines.candidates``). The fingerprints find texts that differ little; at 0.8
+    some 10 of 64 bits differ, which the search does not reach, and all least
+    hashes differ with a probability of 0.2 ** SMALLEST. The row with the smallest doc_id stays (null
     ids last; among rows with one id the one whose content hashes smallest,
     once). Null, empty and word-less texts are equal. Texts of any length take
     part whole. An empty table gives no rows. Rows are held by id and content,
@@ -230,7 +243,13 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
         both = both.withColumn("same", F.size(F.array_intersect("x", "y")))
         return both.where(F.col("same") >= similarity * (F.size("x") + F.size("y") - F.col("same")) - 1e-9).select("a", "b")
 
-    members = stored(connected_components(verify(candidate_pairs(distinct.select("id", "keys"), similarity)), "a", "b"), "near_groups")
+    pairs, places = candidates(distinct.select("id", "keys"), similarity)
+    prints_of = fingerprints(docs, shingle).select("content", "fp").distinct().join(prints.select("content", "id").distinct(), "content")
+    found = stored(verify(pairs.union(print_pairs(prints_of.select("fp", "id"))).distinct()), "near_links")
+    members = stored(connected_components(found, "a", "b"), "near_groups")
+    rest = rest_pairs(places, members, similarity)
+    if not rest.isEmpty():
+        members = stored(connected_components(found.union(verify(rest)), "a", "b"), "near_groups")
     best = members.join(distinct, "id").groupBy("component").agg(F.min("own").alias("best"))
     alone = distinct.join(small(members.select("id")), "id", "left_anti").select(F.col("own").alias("best"))
     chosen = stored(best.select("best").union(alone).select("best.doc_id", "best.content"), "near_chosen")
