@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Words, connected_components, small, stored
-from .lines import candidates, rest_pairs, sized_id
+from .common import WORD, Words, connected_components, forget, small, stored
+from .lines import candidates, rest_links, rest_places, sized_id
 from .substrings import cut
 
 SEED = 42
@@ -241,15 +241,20 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
         sets = stored(sets, "near_sets")
         both = asked.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
         both = both.withColumn("same", F.size(F.array_intersect("x", "y")))
-        return both.where(F.col("same") >= similarity * (F.size("x") + F.size("y") - F.col("same")) - 1e-9).select("a", "b")
+        near = stored(both.where(F.col("same") >= similarity * (F.size("x") + F.size("y") - F.col("same")) - 1e-9).select("a", "b"), "near_links")
+        forget(rows, sets)
+        return near
 
     pairs, places = candidates(distinct.select("id", "keys"), similarity)
     prints_of = fingerprints(docs, shingle).select("content", "fp").distinct().join(prints.select("content", "id").distinct(), "content")
-    found = stored(verify(pairs.union(print_pairs(prints_of.select("fp", "id"))).distinct()), "near_links")
+    found = verify(pairs.union(print_pairs(prints_of.select("fp", "id"))).distinct())
     members = stored(connected_components(found, "a", "b"), "near_groups")
-    rest = rest_pairs(places, members, similarity)
-    if not rest.isEmpty():
-        members = stored(connected_components(found.union(verify(rest)), "a", "b"), "near_groups")
+    held, parts = rest_places(places, members)
+    forget(places)
+    if parts:
+        more = rest_links(held, similarity, parts, verify)
+        members = stored(connected_components(found.union(more), "a", "b"), "near_groups")
+    forget(held)
     best = members.join(distinct, "id").groupBy("component").agg(F.min("own").alias("best"))
     alone = distinct.join(small(members.select("id")), "id", "left_anti").select(F.col("own").alias("best"))
     chosen = stored(best.select("best").union(alone).select("best.doc_id", "best.content"), "near_chosen")
