@@ -2,9 +2,9 @@
 
 ``arcs`` is (child, parent); a concept may have several parents. Its label is
 the path from a root over smallest parents. What hangs below a concept on that
-tree begins with its label; what hangs below it on other arcs is noted as
-further labels that it covers. So one concept is below another if its label
-begins with one that the other covers, and no arcs are walked to find out.
+tree holds it in its label; for what hangs below it on other arcs further
+concepts are noted that it covers. So one concept is below another if its label
+holds one that the other covers, and no arcs are walked to find out.
 Joins of what grows with the arcs are shuffled: a broadcast passes the driver whole.
 """
 
@@ -29,41 +29,44 @@ def concept_labels(arcs: DataFrame) -> DataFrame:
     return rounds.all()
 
 
-def begins_with(label, cover):
-    """If ``label`` begins with ``cover``."""
-    return F.slice(label, F.lit(1), F.size(cover)) == cover
-
-
 def covered_labels(arcs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(concept, cover): a concept's own label and those that it covers by arcs
-    off the tree, none of which begins with its own. They climb all arcs, and
-    stop where they are covered already."""
-    arcs = arcs.select("child", "parent").distinct()
-    own = labels.select(F.col("concept").alias("parent"), F.col("label").alias("up"))
-    side, rounds = arcs.join(labels.withColumnRenamed("concept", "child").hint("merge"), "child").join(own.hint("merge"), "parent"), Rounds(arcs.sparkSession)
-    rounds.add(labels.select("concept", F.col("label").alias("cover")))
-    side = rounds.add(side.where(~begins_with(F.col("label"), F.col("up"))).select(F.col("parent").alias("concept"), F.col("label").alias("cover")).distinct())
+    """(concept, cover): what hangs below a concept has a cover in its label. A
+    concept covers itself and what arcs off the tree add; covers are concepts, so
+    no labels are kept for them. They climb all arcs, and stop where they, or
+    the concept above them on the tree, are covered already."""
+    named = labels.select(F.col("concept").alias("child"), "label")
+    arcs = arcs.select("child", "parent").distinct().join(labels.select(F.col("concept").alias("parent")).hint("merge"), "parent").join(named.hint("merge"), "child")
+    up = F.get("label", F.size("label") - 2)
+    side = cut(arcs.select("parent", "child", up.alias("above"), F.array_contains("label", F.col("parent")).alias("known")))
+    arcs, rounds = side.select("child", "parent"), Rounds(side.sparkSession)
+    rounds.add(labels.select("concept", F.col("concept").alias("cover"), F.get("label", F.size("label") - 2).alias("above")))
+    side = rounds.add(side.where("not known").select(F.col("parent").alias("concept"), F.col("child").alias("cover"), "above"))
     while not side.isEmpty():
-        climbed = side.withColumnRenamed("concept", "child").join(arcs.hint("merge"), "child").join(own.hint("merge"), "parent").where(~begins_with(F.col("cover"), F.col("up"))).select(F.col("parent").alias("concept"), "cover").distinct()
-        side = rounds.add(climbed.join(rounds.all().hint("merge"), ["concept", "cover"], "left_anti"))
-    return rounds.all()
+        found = rounds.all().select("concept", "cover")
+        climbed = side.withColumnRenamed("concept", "child").join(arcs.hint("merge"), "child").select(F.col("parent").alias("concept"), "cover", "above").distinct()
+        climbed = climbed.join(found.hint("merge"), ["concept", "cover"], "left_anti")
+        side = rounds.add(climbed.join(found.withColumnRenamed("cover", "above").hint("merge"), ["concept", "above"], "left_anti").select("concept", "cover", "above"))
+    return rounds.all().select("concept", "cover")
 
 
 def below(pairs: DataFrame, labels: DataFrame, covers: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with ``below``: if a is b or hangs below it; null if one
-    of them has no label."""
+    of them has no label. Labels meet covers by equality, so no row holds all
+    that a concept covers."""
     named = pairs.join(labels.select(F.col("concept").alias("a"), F.col("label").alias("_label")).hint("merge"), "a", "left")
-    over = covers.groupBy(F.col("concept").alias("b")).agg(F.collect_list("cover").alias("_covers"))
-    met = named.join(over.hint("merge"), "b", "left")
-    found = F.when(F.col("_label").isNotNull() & F.col("_covers").isNotNull(), F.exists("_covers", lambda c: begins_with(F.col("_label"), c)))
-    return met.select("a", "b", found.alias("below"))
+    known = labels.select(F.col("concept").alias("b"), F.lit(True).alias("_known"))
+    met = named.join(known.hint("merge"), "b", "left")
+    begins = named.select("a", "b", F.explode("_label").alias("cover")).distinct()
+    found = begins.join(covers.withColumnRenamed("concept", "b").hint("merge"), ["b", "cover"], "left_semi").select("a", "b").distinct()
+    met = met.join(found.withColumn("_found", F.lit(True)).hint("merge"), ["a", "b"], "left")
+    return met.select("a", "b", F.when(F.col("_label").isNotNull() & F.col("_known"), F.coalesce("_found", F.lit(False))).alias("below"))
 
 
 def concept_domains(arcs: DataFrame, tops: DataFrame) -> DataFrame:
     """(concept, domains): the concepts right under ``tops`` (concept) that each
     concept is or hangs below. A concept without a parent that is no top is a
     domain too. Two concepts share an ancestor besides the tops if and only if
-    they share a domain; a top has none. Labels and their beginnings meet by equality."""
+    they share a domain; a top has none. Labels and covers meet by equality."""
     arcs = cut(arcs.select("child", "parent").where("child is not null and parent is not null and child <> parent").distinct())
     labels = concept_labels(arcs)
     covers = covered_labels(arcs, labels)
@@ -72,7 +75,7 @@ def concept_domains(arcs: DataFrame, tops: DataFrame) -> DataFrame:
     low = arcs.join(marked, "parent", "left").where(~high).select(F.col("child").alias("concept")).distinct()
     domains = labels.select("concept").join(tops.select("concept").distinct(), "concept", "left_anti").join(low.hint("merge"), "concept", "left_anti")
     held = domains.join(covers.hint("merge"), "concept").select(F.col("concept").alias("domain"), F.col("cover").alias("begin"))
-    begins = labels.select("concept", F.explode(F.transform("label", lambda x, i: F.slice("label", F.lit(1), i + 1))).alias("begin"))
+    begins = labels.select("concept", F.explode("label").alias("begin"))
     return begins.join(held.hint("merge"), "begin", "left").groupBy("concept").agg(F.array_sort(F.collect_set("domain")).alias("domains"))
 
 
